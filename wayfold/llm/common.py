@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,3 +65,14 @@ def by_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id`` and ``text`` alone, whatever else the table holds; null texts are empty."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+
+
+def slices(batch: pa.RecordBatch, column: int = 1, most_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about ``most_bytes`` of text each (one row at least), so that what Python makes of them stays small."""
+    offsets = pa.compute.binary_length(batch.column(column)).to_numpy(zero_copy_only=False).cumsum()
+    at = 0
+    while at < batch.num_rows:
+        before = offsets[at - 1] if at else 0
+        end = max(at + 1, int(offsets.searchsorted(before + most_bytes, side="right")))
+        yield batch.slice(at, end - at)
+        at = end

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import token_counts, url_filter
-from .common import table
+from . import chat, html_extract, token_counts, toxicity, url_filter, warc
+from .common import scratch_path, table
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,9 +18,27 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), token_counts.tokenizer_file("word_bpe_49k.json"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), path)
+    return warc.read(spark, path, payloads=False).drop("payload", "url")
+
+
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.read_back(chat.format_turns(chat.with_probe(table(spark, sf_dir, "conversations"))))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_url_filter, op4_token_counts)}
+    return {f.__name__: f for f in (op2_url_filter, op4_token_counts, op5_warc, op6_chat_format, op7_toxicity, op9_html_extract)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_warc": warc.ORACLE, "op6_chat_format": chat.ORACLE}
