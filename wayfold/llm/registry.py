@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, html_extract, token_counts, toxicity, url_filter, warc
+from . import chat, decontaminate, html_extract, near_dups, token_counts, toxicity, url_filter, warc
 from .common import scratch_path, table
 
 
@@ -32,12 +32,20 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.judge(table(spark, sf_dir, "documents"))
+
+
 def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_url_filter, op4_token_counts, op5_warc, op6_chat_format, op7_toxicity, op9_html_extract)}
+    return {f.__name__: f for f in (op2_url_filter, op4_token_counts, op5_warc, op6_chat_format, op7_toxicity, op8_near_dups, op9_html_extract, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
