@@ -69,7 +69,7 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 def slices(batch: pa.RecordBatch, column: int = 1, most_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about ``most_bytes`` of text each (one row at least), so that what Python makes of them stays small."""
-    offsets = pa.compute.binary_length(batch.column(column)).to_numpy(zero_copy_only=False).cumsum()
+    offsets = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).cumsum()
     at = 0
     while at < batch.num_rows:
         before = offsets[at - 1] if at else 0

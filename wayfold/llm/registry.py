@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, html_extract, near_dups, token_counts, toxicity, url_filter, warc
+from . import chat, decontaminate, html_extract, near_dups, pieces, token_counts, toxicity, url_filter, warc
 from .common import scratch_path, table
 
 
@@ -14,6 +14,10 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(table(spark, sf_dir, "documents"), pieces.load(pieces.model_file()))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), token_counts.tokenizer_file("word_bpe_49k.json"))
 
@@ -45,7 +49,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_url_filter, op4_token_counts, op5_warc, op6_chat_format, op7_toxicity, op8_near_dups, op9_html_extract, op10_decontaminate)}
+    return {f.__name__: f for f in (op2_url_filter, op3_sentencepiece, op4_token_counts, op5_warc, op6_chat_format, op7_toxicity, op8_near_dups, op9_html_extract, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
