@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, html_extract, near_dups, pieces, token_counts, toxicity, url_filter, warc
+from . import chat, decontaminate, html_extract, near_dups, neighbours, pieces, token_counts, toxicity, url_filter, warc
 from .common import scratch_path, table
 
 
+def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"))
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
@@ -49,7 +53,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_url_filter, op3_sentencepiece, op4_token_counts, op5_warc, op6_chat_format, op7_toxicity, op8_near_dups, op9_html_extract, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_neighbours, op2_url_filter, op3_sentencepiece, op4_token_counts, op5_warc, op6_chat_format, op7_toxicity, op8_near_dups, op9_html_extract, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
