@@ -33,7 +33,7 @@ from .common import texts
 BUCKETS, DIM, WINDOW, STRIDE = 1 << 17, 8, 8, 4
 GRAMS = (3, 4, 5)
 MAX_PER_CLASS = (4_000, 2_000)
-MAX_TRAIN_CHARS = 20_000
+MAX_TRAIN_CHARS = 8_000
 THRESHOLD = 0.3
 STEPS_ALL, STEPS_MAX, RATE, DECAY = 25, 60, 0.05, 1e-4
 CACHE_ENTRIES, LONGEST_KEPT = 400_000, 64
@@ -110,22 +110,31 @@ def train(rows: list[tuple[str, int]], seed: int = 11) -> Model:
     y = np.array(labels, np.float64)
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(BUCKETS, np.float32), -40.0)
-    grams = [pieces(w) for w in words]
-    size = np.array([len(g) for g in grams])
-    flat, word_of = np.concatenate(grams).astype(np.int64), np.repeat(np.arange(len(size)), size)
+    grams = [np.array(pieces(w), np.int32) for w in words]
+    size = np.array([len(g) for g in grams], np.int32)
+    flat, word_of = np.concatenate(grams), np.repeat(np.arange(len(size), dtype=np.int32), size)
+    del grams
     begin = np.concatenate(([0], np.cumsum(size)[:-1]))
     m, owner = np.concatenate(mats), np.concatenate(owner)
+    mats.clear()
     first = np.concatenate(([0], np.flatnonzero(np.diff(owner)) + 1))
-    slot = np.where(m < 0, len(size), m)
+    slot = np.where(m < 0, len(size), m).astype(np.int32)
+    del m
     rng = np.random.default_rng(seed)
-    emb, out, bias = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32), rng.normal(0, 0.5, DIM), 0.0
-    moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (emb, out)] + [[0.0, 0.0]]
+    emb, out, bias = [rng.normal(0, 0.1, BUCKETS).astype(np.float32) for _ in range(DIM)], rng.normal(0, 0.5, DIM), 0.0
     class_weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / len(y)
     windows_of = np.diff(np.append(first, len(owner)))
     logits = np.zeros(len(owner))
+    adam: dict[int, list] = {}
+
+    def moved(key: int, p, g, step: int):
+        mo = adam.setdefault(key, [0.0, 0.0])
+        mo[0], mo[1] = 0.9 * mo[0] + 0.1 * g, 0.99 * mo[1] + 0.01 * g * g
+        return p - RATE * (mo[0] / (1 - 0.9**step)) / (np.sqrt(mo[1] / (1 - 0.99**step)) + 1e-8)
+
     for step in range(1, STEPS_ALL + STEPS_MAX + 2):
-        vectors = np.add.reduceat(emb[flat], begin) / size[:, None]
-        value = np.append(vectors @ out, 0.0)
+        vectors = [np.add.reduceat(e[flat], begin) / size for e in emb]  # one dimension at a time: little memory
+        value = np.append(sum(v * o for v, o in zip(vectors, out, strict=True)), 0.0)
         logits = value[slot].sum(1) / WINDOW + bias
         if step > STEPS_ALL + STEPS_MAX:
             break
@@ -136,16 +145,15 @@ def train(rows: list[tuple[str, int]], seed: int = 11) -> Model:
             top = np.maximum.reduceat(logits, first)
             best = logits >= top[owner]
             grad = np.where(best, (prob - y[owner]) * (class_weight / np.add.reduceat(best, first))[owner], 0)
-        per_word = np.bincount(slot.ravel(), np.repeat(grad / WINDOW, WINDOW), len(size) + 1)[:-1]
+        used = np.flatnonzero(grad)
+        per_word = np.bincount(slot[used].ravel(), np.repeat(grad[used] / WINDOW, WINDOW), len(size) + 1)[:-1]
         per_bucket = np.bincount(flat, (per_word / size)[word_of], BUCKETS)
-        grads = [np.outer(per_bucket, out).astype(np.float32) + DECAY * emb / len(y), vectors.T @ per_word, grad.sum()]
-        new = []
-        for p, g, mo in zip((emb, out, bias), grads, moments, strict=True):
-            mo[0], mo[1] = 0.9 * mo[0] + 0.1 * g, 0.99 * mo[1] + 0.01 * g * g
-            new.append(p - RATE * (mo[0] / (1 - 0.9**step)) / (np.sqrt(mo[1] / (1 - 0.99**step)) + 1e-8))
-        emb, out, bias = new
+        slope = np.array([v @ per_word for v in vectors])
+        emb = [moved(d, e, (per_bucket * out[d] + DECAY * e / len(y)).astype(np.float32), step).astype(np.float32) for d, e in enumerate(emb)]
+        out, bias = moved(-1, out, slope, step), moved(-2, bias, grad.sum(), step)
     tops = np.maximum.reduceat(logits, first)
-    return Model((emb @ out).astype(np.float32), bias + np.log(THRESHOLD / (1 - THRESHOLD)) - cut(tops, y))
+    value = sum(e * o for e, o in zip(emb, out, strict=True)).astype(np.float32)
+    return Model(value, bias + np.log(THRESHOLD / (1 - THRESHOLD)) - cut(tops, y))
 
 
 def cut(logits: np.ndarray, y: np.ndarray) -> float:
