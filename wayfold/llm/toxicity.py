@@ -1,7 +1,7 @@
 """Toxicity: subword-bag embeddings, averaged, into a linear softmax.
 
-A word is the bag of its character 3- to 5-grams (with word-boundary marks) and
-itself, hashed into a fixed number of buckets; a misspelling that was never seen
+A word is the bag of its character 3- to 5-grams (with word-boundary marks; the whole
+word only if it is as short), hashed into a fixed number of buckets; a misspelling that was never seen
 shares most of them. A window of eight words (repeats within it count once) is
 the mean of its words' vectors, and
 embeddings and softmax are trained jointly in numpy. Since a few words make a text
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import slices, texts
 
 BUCKETS, DIM, WINDOW, STRIDE = 1 << 17, 8, 8, 4
 GRAMS = (3, 4, 5)
@@ -36,7 +36,7 @@ MAX_PER_CLASS = (4_000, 2_000)
 MAX_TRAIN_CHARS = 8_000
 THRESHOLD = 0.3
 STEPS_ALL, STEPS_MAX, RATE, DECAY = 25, 60, 0.05, 1e-4
-CACHE_ENTRIES, LONGEST_KEPT = 400_000, 64
+CACHE_ENTRIES, LONGEST_KEPT = 250_000, 64
 EDGE = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»“”‘’„…–—·¿¡"
 
 
@@ -49,7 +49,7 @@ def pieces(chunk: str) -> list[int]:
     """Bucket numbers of a white-space-delimited chunk's n-grams."""
     low = chunk.lower()
     word = f"<{low.strip(EDGE) or low}>"
-    found = [zlib.crc32(word.encode()) % BUCKETS]
+    found = [zlib.crc32(word.encode()) % BUCKETS] if len(word) < GRAMS[-1] else []
     for n in GRAMS:
         found += [zlib.crc32(word[i : i + n].encode()) % BUCKETS for i in range(len(word) - n + 1)]
     return found
@@ -163,7 +163,7 @@ def cut(logits: np.ndarray, y: np.ndarray) -> float:
     f1 = 2 * hit / (np.arange(1, len(z) + 1) + y.sum())
     f1[:-1][z[:-1] == z[1:]] = -1
     k = int(np.argmax(f1))
-    return float(0.3 * z[k] + 0.7 * z[k + 1]) if k + 1 < len(z) else float(z[k] - 1)
+    return float(0.2 * z[k] + 0.8 * z[k + 1]) if k + 1 < len(z) else float(z[k] - 1)
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = MAX_PER_CLASS) -> Model:
@@ -179,32 +179,59 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = MAX_PER
     return train([(r.text, label_of[r.doc_id]) for r in rows])
 
 
+class Values(dict):
+    """chunk -> what it adds to its window's sum, kept while there is room."""
+
+    def __init__(self, model: Model) -> None:
+        super().__init__()
+        self.model = model
+
+    def __missing__(self, chunk: str) -> float:
+        v = self.model.word(chunk)
+        if len(chunk) <= LONGEST_KEPT:
+            if len(self) >= CACHE_ENTRIES:
+                self.clear()
+            self[chunk] = v
+        return v
+
+
+def score_of(text: str, values: Values) -> float:
+    words = kept_words(text)
+    return values.model.score(np.fromiter(map(values.__getitem__, words), np.float64, len(words)))
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, score`` of every row."""
     shared = docs.sparkSession.sparkContext.broadcast((model.value, model.bias))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, cache = Model(*shared.value), {}
+        values = Values(Model(*shared.value))
         for batch in batches:
-            scores = []
-            for text in batch.column(1).to_pylist():
-                words = kept_words(text)
-                values = np.empty(len(words))
-                for i, w in enumerate(words):
-                    v = cache.get(w)
-                    if v is None:
-                        v = model.word(w)
-                        if len(w) <= LONGEST_KEPT:
-                            if len(cache) >= CACHE_ENTRIES:
-                                cache.clear()
-                            cache[w] = v
-                    values[i] = v
-                scores.append(model.score(values))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
+            for part in slices(batch):
+                scores = [score_of(t, values) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
     return docs.mapInArrow(run, "doc_id long, score double")
 
 
+def clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, with all columns, whose ``text`` scores below the threshold; a map without a shuffle."""
+    shared, at = docs.sparkSession.sparkContext.broadcast((model.value, model.bias)), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values = Values(Model(*shared.value))
+        for batch in batches:
+            for part in slices(batch, at):
+                yield part.filter(pa.array([score_of(t or "", values) < threshold for t in part.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def fit_on(docs: DataFrame, labels: DataFrame) -> Model:
+    """``fit`` for a table with other columns and null texts."""
+    return fit(texts(docs), labels)
+
+
 def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every row of ``docs`` (``doc_id``, ``text``)."""
     docs = texts(docs)
