@@ -15,8 +15,9 @@ probability 1e-4 (0.0001), at 0.8 with 6e-6.
 4. Tables whose classes are then in more than one component leave work to do. Their
    classes go to an exact search: with shingles in a fixed order, rare ones first, sets of
    that similarity share a shingle among their first ``n - ceil(0.75 n) + 1`` ones, so
-   classes meet by these, across components and with sizes that allow it, and full sets
-   decide again. A passage common to many texts comes late in that order and brings
+   classes meet by these, across components and where sizes and places in that order
+   allow it, and full sets decide again: first each with the smallest set that shares
+   the shingle, then, across the components that are left, all that meet. A passage common to many texts comes late in that order and brings
    nobody together; a group of copies is one component by then. No link that a table
    could show is given up, and no table is searched pair by pair.
 
@@ -144,7 +145,7 @@ def verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
 
 
 def prefixes(left: DataFrame) -> DataFrame:
-    """``shingle, rep, component, n`` of each class's rarest shingles, as many as a partner must share one of. left: ``rep, component, text``."""
+    """``shingle, rep, n, pos`` of each class's rarest shingles, as many as a partner must share one of. left: ``rep, text``."""
     spark, mask = left.sparkSession, np.uint64((1 << SKETCH_BITS) - 1)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,27 +164,40 @@ def prefixes(left: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, table = Words(), shared.value
         for batch in batches:
-            for part in slices(batch, 2):
-                keys, reps, comps, sizes = [], [], [], []
-                for rep, comp, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
+            for part in slices(batch):
+                keys, reps, sizes, places = [], [], [], []
+                for rep, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
                     s = shingles(text, words)
                     n = len(s)
                     first = s[np.lexsort((s, table[(s & mask).astype(np.int64)]))][: n - -(-NEED * n // OF) + 1]
                     keys.append(first.view(np.int64))
-                    reps += [rep] * len(first)
-                    comps += [comp] * len(first)
-                    sizes += [n] * len(first)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(reps, pa.int64()), pa.array(comps, pa.int64()), pa.array(sizes, pa.int64())], ["shingle", "rep", "component", "n"])
+                    reps.append(np.full(len(first), rep))
+                    sizes.append(np.full(len(first), n))
+                    places.append(np.arange(len(first)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in (keys, reps, sizes, places)], ["shingle", "rep", "n", "pos"])
+
+    return left.select("rep", "text").mapInArrow(run, "shingle long, rep long, n long, pos long")
+
 
-    return left.select("rep", "component", "text").mapInArrow(run, "shingle long, rep long, component long, n long")
+#: Of two sets whose first common shingle stands at these places, the intersection can still be large enough: ``100 (a + b - s) >= ...`` solved for s.
+MAY_LINK = f"ca <> cb and {OF} * least(na, nb) >= {NEED} * greatest(na, nb) and {OF + NEED} * least(na - pa, nb - pb) >= {NEED} * (na + nb)"
 
 
-def meeting(firsts: DataFrame) -> DataFrame:
-    """``a, b``: classes of different components that share one of their first shingles and whose sizes allow a link."""
-    open_ = firsts.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("shingle")
-    rows = firsts.join(open_, "shingle", "left_semi")
-    x, y = rows.select("shingle", F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na")), rows.select("shingle", F.col("rep").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"))
-    return x.join(y, "shingle").where(f"a > b and ca <> cb and {OF} * least(na, nb) >= {NEED} * greatest(na, nb)").select("a", "b").distinct()
+def meeting(firsts: DataFrame, comps: DataFrame, star: bool) -> DataFrame:
+    """``a, b``: classes of different components that share one of their first shingles where sizes and places allow a link.
+
+    star: each is paired with the smallest set of those that share the shingle, not with all.
+    """
+    rows = firsts.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    smallest = F.min(F.struct("n", "rep", "component", "pos")).alias("s")
+    open_ = rows.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), smallest).where("lo < hi")
+    x = rows.select("shingle", F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("pos").alias("pa"))
+    if star:
+        y = open_.select("shingle", F.col("s.rep").alias("b"), F.col("s.component").alias("cb"), F.col("s.n").alias("nb"), F.col("s.pos").alias("pb"))
+        return x.join(y, "shingle").where(MAY_LINK).select("a", "b").distinct()
+    rows = rows.join(open_.select("shingle"), "shingle", "left_semi")
+    x, y = (rows.select("shingle", F.col("rep").alias(i), F.col("component").alias("c" + i), F.col("n").alias("n" + i), F.col("pos").alias("p" + i)) for i in "ab")
+    return x.join(y, "shingle").where(f"a > b and {MAY_LINK}").select("a", "b").distinct()
 
 
 def shared_halves(classes: DataFrame, side: str, begin: int) -> DataFrame:
@@ -209,12 +223,21 @@ def judge(docs: DataFrame) -> DataFrame:
     comps = materialize(components(links), "components")
     where = tables.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
     open_ = where.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    left = where.join(open_, "key", "left_semi").select("rep", "component").distinct()
-    left = materialize(left.join(held, "rep"), "left")
-    more = materialize(verified(materialize(meeting(materialize(prefixes(left), "prefixes")), "meeting"), held), "links")
-    comps = components(links.unionByName(more)).withColumnRenamed("node", "rep")
+    left = where.join(open_, "key", "left_semi").select("rep").distinct().join(held, "rep")
+    firsts = materialize(prefixes(materialize(left, "left")), "prefixes")
+    for star in (True, False):
+        more = verified(materialize(meeting(firsts, comps, star), "meeting"), held)
+        links = materialize(links.unionByName(more), "links")
+        comps = materialize(components(links), "components")
+    comps = comps.withColumnRenamed("node", "rep")
     found = classes.select("d1", "d2", "rep").join(comps, "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
     key = [F.when(F.col("n") > 0, F.col(k)).alias(k) for k in ("d1", "d2")]  # empty sets meet nothing
     out = rows.select("doc_id", "n", *key).join(found, ["d1", "d2"], "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with all columns, that ``judge`` keeps."""
+    gone = judge(docs).where(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
