@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import slices, texts
 
 TABLE_ENTRIES = 65_536
 """Largest number of chunks in the broadcast table."""
@@ -35,11 +35,13 @@ SUMMARY_ENTRIES = 8_192
 """Frequent chunks that one task reports at most."""
 SUMMARY_HOLDS = 262_144
 """Chunks that a task counts at once; beyond it, the rarer half is forgotten."""
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 600_000
 """Lengths that a worker keeps; beyond it, its cache starts anew."""
 LONGEST_KEPT = 64
 """Chunks with more characters are encoded each time, not kept."""
 
+#: Letters, then ASCII marks other than the apostrophe: two pre-tokens, always. No letter here is lower-cased to one with a mark of its own.
+_WORD_MARKS = re.compile("([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([!-&(-/:-@[-`{-~]+)")
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 
 
@@ -58,11 +60,41 @@ def lengths(tok, chunks: list[str]) -> list[int]:
     return [len(e.ids) for e in tok.encode_batch_fast(chunks, add_special_tokens=False)]
 
 
+def parts(chunk: str) -> tuple[str, ...]:
+    """A chunk, or the word and the marks after it, whose tokens are those of the chunk; far fewer words differ than chunks."""
+    m = _WORD_MARKS.fullmatch(chunk) if "<|" not in chunk else None
+    return m.groups() if m else (chunk,)
+
+
+class Lengths:
+    """Token counts of chunks: the broadcast table, and what it lacks, kept while there is room. All new ones of a slice are encoded at once."""
+
+    def __init__(self, tok, frequent: dict[str, int]) -> None:
+        self.tok, self.frequent, self.kept = tok, frequent, dict(frequent)
+
+    def counts(self, split: list[list[str]]) -> list[int]:
+        seen = set().union(*split)
+        new = seen.difference(self.kept)
+        if len(self.kept) + len(new) > CACHE_ENTRIES:
+            self.kept = dict(self.frequent)
+            new = seen.difference(self.kept)
+        found = {c: parts(c) for c in new}
+        todo = [p for p in {p for ps in found.values() for p in ps} if p not in self.kept]
+        fresh = dict(zip(todo, lengths(self.tok, todo), strict=True))
+        get = self.kept.get
+        more = {c: sum(fresh[p] if p in fresh else get(p) for p in ps) for c, ps in found.items()}
+        self.kept.update((k, n) for k, n in fresh.items() if len(k) <= LONGEST_KEPT)
+        self.kept.update((k, n) for k, n in more.items() if len(k) <= LONGEST_KEPT)
+        get = self.kept.get
+        return [sum(n if (n := get(w)) is not None else more[w] for w in words) for words in split]
+
+
 def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: Counter[str] = Counter()
     for batch in batches:
-        for text in batch.column(0).to_pylist():
-            seen.update(text.split())
+        for part in slices(batch, 0):
+            for text in part.column(0).to_pylist():
+                seen.update(text.split())
             if len(seen) > SUMMARY_HOLDS:
                 seen = Counter(dict(seen.most_common(SUMMARY_HOLDS // 2)))
     top = [(c, n) for c, n in seen.most_common(SUMMARY_ENTRIES) if len(c) <= LONGEST_KEPT and n > 1]
@@ -85,31 +117,16 @@ def count_tokens(docs: DataFrame, tokenizer_json: str, limit: int = 2048, entrie
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text_of, frequent = first.value
-        tok, cache = load(text_of), {}
+        tok = load(text_of)
+        known = Lengths(tok, frequent)
         for batch in batches:
-            ids, rows = batch.column(0), batch.column(1).to_pylist()
-            split = [None if _ODD_SPACE.search(t) else t.split() for t in rows]
-            misses = {c for words in split if words for c in words if c not in frequent and c not in cache}
-            kept = sorted(c for c in misses if len(c) <= LONGEST_KEPT)
-            if len(cache) + len(kept) > CACHE_ENTRIES:
-                cache = {}
-                kept = sorted({c for words in split if words for c in words if c not in frequent and len(c) <= LONGEST_KEPT})
-            cache.update(zip(kept, lengths(tok, kept), strict=True))
-            counts = []
-            for text, words in zip(rows, split, strict=True):
-                if words is None:
-                    counts.append(lengths(tok, [text])[0])
-                    continue
-                total = 0
-                for w in words:
-                    n = frequent.get(w)
-                    if n is None:
-                        n = cache.get(w)
-                        if n is None:
-                            n = lengths(tok, [w])[0]
-                    total += n
-                counts.append(total)
-            yield pa.RecordBatch.from_arrays([ids, pa.array([len(t.encode()) for t in rows], pa.int64()), pa.array(counts, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
+            for part in slices(batch):
+                rows = part.column(1).to_pylist()
+                counts = known.counts([[] if _ODD_SPACE.search(t) else t.split() for t in rows])
+                for i, t in enumerate(rows):
+                    if _ODD_SPACE.search(t):
+                        counts[i] = lengths(tok, [t])[0]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(t.encode()) for t in rows], pa.int64()), pa.array(counts, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
     return docs.mapInArrow(count, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
 
