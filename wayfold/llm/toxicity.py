@@ -1,7 +1,7 @@
 """Toxicity: subword-bag embeddings, averaged, into a linear softmax.
 
-A word is the bag of its character 3- to 5-grams (with word-boundary marks; the whole
-word only if it is as short), hashed into a fixed number of buckets; a misspelling that was never seen
+A word is the bag of its character 3- to 5-grams (with word-boundary marks),
+hashed into a fixed number of buckets; a misspelling that was never seen
 shares most of them. A window of eight words (repeats within it count once) is
 the mean of its words' vectors, and
 embeddings and softmax are trained jointly in numpy. Since a few words make a text
@@ -19,7 +19,6 @@ classes every score is 0; contradicting labels of an id count as toxic.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,7 +35,7 @@ MAX_PER_CLASS = (4_000, 2_000)
 MAX_TRAIN_CHARS = 8_000
 THRESHOLD = 0.3
 STEPS_ALL, STEPS_MAX, RATE, DECAY = 25, 60, 0.05, 1e-4
-CACHE_ENTRIES, LONGEST_KEPT = 250_000, 64
+CACHE_ENTRIES = 300_000
 EDGE = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»“”‘’„…–—·¿¡"
 
 
@@ -45,14 +44,27 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def pieces(chunk: str) -> list[int]:
-    """Bucket numbers of a white-space-delimited chunk's n-grams."""
-    low = chunk.lower()
-    word = f"<{low.strip(EDGE) or low}>"
-    found = [zlib.crc32(word.encode()) % BUCKETS] if len(word) < GRAMS[-1] else []
+_SPREAD = np.random.default_rng(20240301).integers(1 << 62, size=GRAMS[-1] + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def bags(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket numbers of the n-grams of white-space-delimited chunks, and whose they are (ascending); all chunks at once."""
+    marked = [f"<{low.strip(EDGE) or low}>" for low in map(str.lower, chunks)]
+    codes = np.frombuffer("".join(marked).encode("utf-32-le"), "<u4").astype(np.uint64)
+    owner = np.repeat(np.arange(len(marked), dtype=np.int32), [len(w) for w in marked])
+    found, whose = [], []
     for n in GRAMS:
-        found += [zlib.crc32(word[i : i + n].encode()) % BUCKETS for i in range(len(word) - n + 1)]
-    return found
+        m = max(0, len(codes) - n + 1)
+        h = np.full(m, np.uint64(n)) * _SPREAD[0]
+        for j in range(n):
+            h = (h ^ codes[j : m + j]) * _SPREAD[j + 1]
+            h ^= h >> np.uint64(31)
+        inside = owner[:m] == owner[n - 1 : n - 1 + m]
+        found.append(((h * _SPREAD[0]) >> np.uint64(47)).astype(np.int32)[inside])
+        whose.append(owner[:m][inside])
+    flat, whose_all = np.concatenate(found), np.concatenate(whose)
+    order = np.argsort(whose_all, kind="stable")
+    return flat[order], whose_all[order]
 
 
 def kept_words(text: str) -> list[str]:
@@ -80,8 +92,12 @@ class Model:
     value: np.ndarray
     bias: float
 
-    def word(self, chunk: str) -> float:
-        return float(self.value[pieces(chunk)].mean())
+    def words(self, chunks: list[str]) -> list[float]:
+        """What each chunk adds to its window's sum."""
+        if not chunks:
+            return []
+        flat, whose = bags(chunks)
+        return (np.bincount(whose, self.value[flat], len(chunks)) / np.bincount(whose, minlength=len(chunks))).tolist()
 
     def score(self, values: np.ndarray) -> float:
         """Of a text, from its words' values."""
@@ -110,10 +126,8 @@ def train(rows: list[tuple[str, int]], seed: int = 11) -> Model:
     y = np.array(labels, np.float64)
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(BUCKETS, np.float32), -40.0)
-    grams = [np.array(pieces(w), np.int32) for w in words]
-    size = np.array([len(g) for g in grams], np.int32)
-    flat, word_of = np.concatenate(grams), np.repeat(np.arange(len(size), dtype=np.int32), size)
-    del grams
+    flat, word_of = bags(list(words))
+    size = np.bincount(word_of, minlength=len(words)).astype(np.int32)
     begin = np.concatenate(([0], np.cumsum(size)[:-1]))
     m, owner = np.concatenate(mats), np.concatenate(owner)
     mats.clear()
@@ -179,25 +193,20 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = MAX_PER
     return train([(r.text, label_of[r.doc_id]) for r in rows])
 
 
-class Values(dict):
-    """chunk -> what it adds to its window's sum, kept while there is room."""
+class Values:
+    """Scores texts; keeps words' values while there is room, and works out those of all new words at once."""
 
     def __init__(self, model: Model) -> None:
-        super().__init__()
-        self.model = model
-
-    def __missing__(self, chunk: str) -> float:
-        v = self.model.word(chunk)
-        if len(chunk) <= LONGEST_KEPT:
-            if len(self) >= CACHE_ENTRIES:
-                self.clear()
-            self[chunk] = v
-        return v
-
+        self.model, self.kept = model, {}
 
-def score_of(text: str, values: Values) -> float:
-    words = kept_words(text)
-    return values.model.score(np.fromiter(map(values.__getitem__, words), np.float64, len(words)))
+    def scores(self, texts: list[str | None]) -> list[float]:
+        split = [kept_words(t or "") for t in texts]
+        new = {w for words in split for w in words if w not in self.kept}
+        if len(self.kept) + len(new) > CACHE_ENTRIES:
+            self.kept, new = {}, {w for words in split for w in words}
+        ordered = sorted(new)
+        self.kept.update(zip(ordered, self.model.words(ordered), strict=True))
+        return [self.model.score(np.fromiter(map(self.kept.__getitem__, words), np.float64, len(words))) for words in split]
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -208,8 +217,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         values = Values(Model(*shared.value))
         for batch in batches:
             for part in slices(batch):
-                scores = [score_of(t, values) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(values.scores(part.column(1).to_pylist()), pa.float64())], ["doc_id", "score"])
 
     return docs.mapInArrow(run, "doc_id long, score double")
 
@@ -222,7 +230,7 @@ def clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
         values = Values(Model(*shared.value))
         for batch in batches:
             for part in slices(batch, at):
-                yield part.filter(pa.array([score_of(t or "", values) < threshold for t in part.column(at).to_pylist()], pa.bool_()))
+                yield part.filter(pa.array([x < threshold for x in values.scores(part.column(at).to_pylist())], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
