@@ -14,7 +14,7 @@ def haversine(lon1: Column, lat1: Column, lon2: Column, lat2: Column, radius: fl
     """Great-circle distance in the radius's unit."""
     p1, p2 = F.radians(lat1), F.radians(lat2)
     h = F.pow(F.sin((p2 - p1) / 2), 2) + F.cos(p1) * F.cos(p2) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return 2 * radius * F.asin(F.least(F.sqrt(h), F.lit(1.0)))
+    return F.when(h.isNotNull(), 2 * radius * F.asin(F.least(F.sqrt(h), F.lit(1.0))))
 
 
 def planar2(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:

@@ -219,21 +219,28 @@ LAYER = lambda x: normalize_layer(F.lower(x))
 CATEGORY = lambda x: F.lower(F.trim(x))
 
 
-def candidates(queries: DataFrame, index: Index, plain: bool = False) -> DataFrame:
-    """``qid, place_id, score`` before re-ranking, with all filters, cut to five times the limit (200 at most, the limit at least)."""
+def candidates(queries: DataFrame, index: Index, plain: bool = False, given: frozenset[str] = frozenset(OPTIONS)) -> DataFrame:
+    """``qid, place_id, score`` before re-ranking, with all filters, cut to five times the limit (200 at most, the limit at least).
+
+    given: the options that the batch has; clauses of the others are left out of the plan.
+    """
     hits = matched(query_terms(queries, plain), index)
-    if not plain:
+    if not plain and "fuzzy" in given:
         fuzzy = fuzzy_matched(queries, index)
         guarded = queries.where("length(trim(q)) >= 4").select("qid")
         allowed = trigram_allowed(queries, index)
         fuzzy = fuzzy.join(guarded, "qid", "left_anti").unionByName(fuzzy.join(guarded, "qid", "left_semi").join(allowed, ["qid", "place_id"]).withColumn("score", F.col("score") + F.col("extra")).drop("extra"))
-        hits = hits.unionByName(fuzzy).unionByName(phonetic_matched(queries, index)).groupBy("qid", "place_id").agg(F.sum("score").alias("score"))
-    hits = filtered(hits, queries, index, "layers", "kind", LAYER)
-    hits = filtered(hits, queries, index, "categories", "categories", CATEGORY)
-    rows = hits.join(queries, "qid").join(index.store, "place_id")
+        hits = hits.unionByName(fuzzy).groupBy("qid", "place_id").agg(F.sum("score").alias("score"))
+    if not plain and "phonetic" in given:
+        hits = hits.unionByName(phonetic_matched(queries, index)).groupBy("qid", "place_id").agg(F.sum("score").alias("score"))
+    if "layers" in given:
+        hits = filtered(hits, queries, index, "layers", "kind", LAYER)
+    if "categories" in given:
+        hits = filtered(hits, queries, index, "categories", "categories", CATEGORY)
+    rows = hits.join(queries.drop("layers", "categories"), "qid").join(index.store, "place_id")
     valid = F.col("valid_at").isNull() | (F.coalesce(F.col("start_year") <= F.col("valid_at"), F.lit(True)) & F.coalesce(F.col("end_year") >= F.col("valid_at"), F.lit(True)))
     most = F.least(F.greatest(F.col("lim") * OVERFETCH, F.col("lim")), F.lit(MOST_CANDIDATES))
-    ranked = rows.where(valid).withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "place_id"))).where(F.col("n") <= MOST_CANDIDATES).where(F.col("n") <= most).drop("n")
+    ranked = rows.where(valid).withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), "place_id"))).where(F.col("n") <= MOST_CANDIDATES).where(F.col("n") <= most).drop("n")
     box = F.col("min_x").isNull() | F.col("min_y").isNull() | F.col("max_x").isNull() | F.col("max_y").isNull() | (F.col("min_x") > F.col("max_x")) | (F.col("min_y") > F.col("max_y"))
     return ranked.where(box | (F.col("lon").between(F.col("min_x"), F.col("max_x")) & F.col("lat").between(F.col("min_y"), F.col("max_y"))))
 
@@ -261,8 +268,9 @@ def search(queries: DataFrame, index: Index, plain: bool = False) -> DataFrame:
     queries: ``qid, q`` and any of ``OPTIONS``. plain: no UDF runs (names are compared
     lower-cased, not folded; fuzzy and phonetic queries find nothing).
     """
+    given = frozenset(OPTIONS) & frozenset(queries.columns)
     queries = with_options(queries).where(F.trim("q") != "")
-    rows = candidates(queries, index, plain).withColumnRenamed("score", "bm25")
+    rows = candidates(queries, index, plain, given).withColumnRenamed("score", "bm25")
     fold = (lambda c: F.lower(F.trim(c))) if plain else udfs.fold_for_compare
     rows = rows.withColumns({"fq": fold(F.col("q")), "fn": fold(F.col("name"))})
     search_mode = F.col("mode") == "search"
