@@ -163,5 +163,5 @@ def attach_buildings(places: DataFrame, buildings: DataFrame) -> DataFrame:
     rows = places.join(hit, "place_id", "left")
     bare = F.filter("tags", lambda t: ~t["key"].isin("building_id", "building_height"))
     entry = lambda k, v: F.array(F.struct(F.lit(k).alias("key"), v.alias("value")))
-    height = F.when(F.col("_h").isNotNull(), entry("building_height", F.format_string("%.1f", "_h"))).otherwise(F.array().cast("array<struct<key:string,value:string>>"))
+    height = F.when(F.col("_h").isNotNull(), entry("building_height", F.format_string("%.1f", F.col("_h") + 1e-9))).otherwise(F.array().cast("array<struct<key:string,value:string>>"))
     return rows.withColumn("tags", F.when(F.col("_id").isNotNull(), F.concat(bare, entry("building_id", F.col("_id")), height)).otherwise(F.col("tags"))).drop("_id", "_h")
