@@ -69,7 +69,7 @@ BATCH_ROWS, BATCH_BYTES = 1_000, 8 << 20
 def small_batches(spark: SparkSession) -> None:
     """Keeps what goes to a Python worker at once to about 8 MB: Spark's default is 64 MB, in the JVM and in the worker."""
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
-        now = spark.conf.get(key, "0").lower().rstrip("b")
+        now = spark.conf.get(key).lower().rstrip("b")
         if not now.isdigit() or not 0 < int(now) <= most:
             spark.conf.set(key, str(most))
 
