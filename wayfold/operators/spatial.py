@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, ids
 from ..schema import CELLS, kind_rank
+from ..scratch import materialize
 
 
 def with_boxes(admin: DataFrame) -> DataFrame:
@@ -85,10 +86,6 @@ def enrich_admin(admin: DataFrame) -> DataFrame:
 
 # ---- nearest neighbours
 
-RINGS = (0, 1, 3, 8)
-"""Reach, in tiles, of each round of the ring expansion; what is left is searched by doubling the cell."""
-
-
 def _round(queries: DataFrame, points: DataFrame, k: int, cell: float, reach: int) -> DataFrame:
     """Candidates within ``reach`` cells; a query is settled if its k-th is nearer than the ring's edge."""
     x, y = lambda c: F.floor((F.col(c) + 180.0) / cell), lambda c: F.floor((F.col(c) + 90.0) / cell)
@@ -107,26 +104,29 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, cell: float = 0.25) -
 
     Cells around each query are joined by key, in rings that grow until every query's k-th
     neighbour is nearer than the ring's edge; the last ring spans the globe, so each
-    query settles, and each round takes only the queries the one before left.
+    query settles, and each round takes only the queries the one before left (rounds
+    are written out, so none is computed twice).
     """
-    left, out, total = queries.select("qid", "lon", "lat"), None, 360.0
-    width = cell
+    left, out, width = materialize(queries.select("qid", "lon", "lat"), "asked"), None, cell
+    points = points.select("place_id", "lon", "lat")
     while True:
-        last = width * 8 >= total
-        ranked = _round(left, points, k, width, 2 if not last else int(total // width) + 2)
+        last = width * 8 >= 360.0
+        ranked = materialize(_round(left, points, k, width, 2 if not last else int(360.0 // width) + 2), "near")
         full = ranked.groupBy("qid").agg(F.count("*").alias("n"), F.max("d2").alias("far"), F.first("edge2").alias("edge2"))
         done = full if last else full.where((F.col("n") >= k) & (F.col("far") <= F.col("edge2")))
         got = ranked.join(done.select("qid"), "qid", "left_semi").select("qid", "place_id", "rank", "d2")
         out = got if out is None else out.unionByName(got)
         if last:
             return out
-        left = left.join(done.select("qid"), "qid", "left_anti")
+        left = materialize(left.join(done.select("qid"), "qid", "left_anti"), "asked")
+        if left.isEmpty():
+            return out
         width *= 8
 
 
 def reverse(queries: DataFrame, admin: DataFrame, places: DataFrame, limit: int = 10, near: int = 1) -> DataFrame:
     """``qid, source, rank, place_id, distance_km``: polygons that hold the point, finest first; where none does, its nearest places."""
-    hits = finest_first(point_in_polygon(queries, admin), limit=limit)
+    hits = materialize(finest_first(point_in_polygon(queries, admin), limit=limit), "hits")
     pip = hits.select("qid", F.lit("pip").alias("source"), "rank", "place_id", geo.haversine(F.col("lon"), F.col("lat"), F.col("centre_lon"), F.col("centre_lat")).alias("distance_km"))
     rest = queries.join(hits.select("qid").distinct(), "qid", "left_anti")
     knn = nearest(rest, places, min(near, limit)).join(rest.select("qid", "lon", "lat"), "qid").join(places.select("place_id", F.col("lon").alias("plon"), F.col("lat").alias("plat")), "place_id")
