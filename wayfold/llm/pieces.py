@@ -2,19 +2,19 @@
 
 Words are cut into units at places that no piece spans (before a run of word marks, and
 between any two characters that stand side by side in no piece), so a text's ids are its
-units' ids in order. The distinct units of the corpus, counted with map-side
-combining, make the lattice: their substrings of 2 to the longest piece's length are
-exploded and equi-joined to the piece table, and the edges are grouped by unit. Each
-group is folded by ``aggregate``:
+units' ids in order. The units of the whole corpus are counted with map-side combining.
+The most frequent ones (``FREQUENT`` at most, whatever the input) make the lattice: their
+substrings of 2 to the longest piece's length are exploded and equi-joined to the piece
+table, and the edges are grouped by unit. Each group is folded by ``aggregate``:
 
 * unigram models: Viterbi, the path with the best sum of scores;
 * BPE models: a sum of scores does not give their ids, so the fold replays the merges on
   the same edges: of the pairs of neighbours that an edge covers, that with the best
   score (the leftmost of equals) becomes one, until there is none.
 
-The most frequent units (``FREQUENT`` at most) go to all workers; what else a document
-holds is joined to it by a key. Units over ``LONGEST_UNIT`` characters are merged with a
-heap in the worker, by the same rule: a fold would take their length's cube.
+The result, a number a unit, goes to all workers. Units that are rarer, or longer than
+``LONGEST_UNIT`` characters, are merged in the worker by the same rule with a heap: joining
+every rare unit back to its documents took three times the limit (see the README).
 
 Decoding maps ids to pieces with a table of the vocabulary's size.
 
@@ -31,26 +31,25 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, slices, texts
 
 MARK = "▁"
-FREQUENT = 131_072
+FREQUENT = 200_000
 LONGEST_UNIT = 48
 MAX_PIECES = 1 << 18
 """Largest vocabulary: what is broadcast has this bound."""
-COUNTS_HELD, CACHE_ENTRIES = 200_000, 150_000
+COUNTS_HELD, CACHE_ENTRIES, RARE_ENTRIES = 200_000, 600_000, 250_000
 
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
@@ -69,9 +68,9 @@ class Vocabulary:
     def longest(self) -> int:
         return max(map(len, self.pieces), default=1)
 
-    def side_by_side(self) -> frozenset[str]:
-        """Pairs of characters that some piece spans."""
-        return frozenset(p[i : i + 2] for p in self.pieces for i in range(len(p) - 1))
+    def side_by_side(self) -> np.ndarray:
+        """Sorted codes of the pairs of characters that some piece spans; never empty."""
+        return np.array(sorted({-1} | {ord(a) << 21 | ord(b) for p in self.pieces for a, b in pairwise(p)}), np.int64)
 
 
 def load(model: bytes) -> Vocabulary:
@@ -99,41 +98,33 @@ def model_file(name: str = "piece_bpe_32k.model") -> bytes:
 
 
 def words_of(text: str) -> list[str]:
-    """The marked text's words: a run of marks begins one."""
+    """The text's words, short: one that a single space or the text's begin precedes stands without its mark, one that a line feed precedes with that."""
     if not text:
         return []
-    if "  " not in text and MARK not in text and text[-1] != " " and text[0] != " ":
-        return [MARK + w for w in text.split(" ")]
+    if MARK not in text and "  " not in text and " \n" not in text and text[-1] != " " and text[0] != " ":
+        return text.replace("\n", " \n").split(" ")
     return _WORD.findall(MARK + text.replace(" ", MARK))
 
 
-def units_of(word: str, near: frozenset[str]) -> tuple[str, ...]:
-    out, at = [], 0
-    for i in range(1, len(word)):
-        if word[i - 1 : i + 1] not in near:
-            out.append(word[at:i])
-            at = i
-    out.append(word[at:])
-    return tuple(out)
+def marked(word: str) -> str:
+    """A word of ``words_of`` as it is encoded."""
+    return word if word[:1] in ("\n", MARK) and word else MARK + word
 
 
-class Units(dict):
-    """word -> units, kept while there is room."""
+def cut_all(words: list[str], near: np.ndarray) -> tuple[list[str], list[int]]:
+    """The units of all words in one list, and where in it each word's end. near: sorted codes of the pairs that some piece spans."""
+    big = "".join(words)
+    codes = np.frombuffer(big.encode("utf-32-le"), "<u4").astype(np.int64)
+    ends = np.cumsum([len(w) for w in words])
+    pairs = (codes[:-1] << 21) | codes[1:]
+    cut = near[np.minimum(np.searchsorted(near, pairs), len(near) - 1)] != pairs
+    cut[ends[:-1] - 1] = True
+    at = np.concatenate(([0], np.flatnonzero(cut) + 1, [len(codes)]))
+    flat = at.tolist()
+    return [big[i:j] for i, j in pairwise(flat)], np.searchsorted(at, ends).tolist()
 
-    def __init__(self, near: frozenset[str]) -> None:
-        super().__init__()
-        self.near = near
 
-    def __missing__(self, word: str) -> tuple[str, ...]:
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        found = units_of(word, self.near)
-        if len(word) <= LONGEST_UNIT:
-            self[word] = found
-        return found
-
-
-def unit_counts(docs: DataFrame, near: frozenset[str]) -> DataFrame:
+def unit_counts(docs: DataFrame, near: np.ndarray) -> DataFrame:
     """``unit, n`` of the distinct units with 2 to ``LONGEST_UNIT`` characters."""
     shared = docs.sparkSession.sparkContext.broadcast(near)
 
@@ -141,11 +132,15 @@ def unit_counts(docs: DataFrame, near: frozenset[str]) -> DataFrame:
         seen: Counter[str] = Counter()
 
         def flush() -> pa.RecordBatch:
-            total: Counter[str] = Counter()
-            for word, n in seen.items():
-                for u in units_of(word, shared.value):
-                    if 2 <= len(u) <= LONGEST_UNIT:
-                        total[u] += n
+            total: dict[str, int] = {}
+            if seen:
+                units, ends = cut_all(list(map(marked, seen)), shared.value)
+                counts, at = list(seen.values()), 0
+                for n, end in zip(counts, ends, strict=True):
+                    for u in units[at:end]:
+                        if 2 <= len(u) <= LONGEST_UNIT:
+                            total[u] = total.get(u, 0) + n
+                    at = end
             seen.clear()
             return pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["unit", "n"])
 
@@ -175,17 +170,25 @@ def lattice(units: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
 
 
 def fold_merges() -> Column:
-    """Bounds of the pieces that BPE merges leave, from ``unit`` and ``edges``."""
+    """The bounds that BPE merges leave, as bits of a number (bit i: a piece begins or ends at i), from ``unit`` and ``edges``.
+
+    An edge is a candidate while both its ends are bounds and one bound stands between
+    them; the fold takes the first candidate in order of score, then place, and clears
+    that bound.
+    """
     return F.expr("""
         aggregate(
           sequence(2, length(unit)),
-          named_struct('at', sequence(0, length(unit)), 'by', map_from_entries(transform(edges, x -> struct(x.b * 4096 + x.e, x.score)))),
-          (s, step) -> CASE WHEN size(s.at) < 3 THEN s ELSE named_struct('at',
-            aggregate(array(array_max(filter(transform(sequence(1, size(s.at) - 2),
-                i -> struct(try_element_at(s.by, s.at[i - 1] * 4096 + s.at[i + 1]) as score, -i as i)), c -> c.score IS NOT NULL))),
-              s.at, (at, best) -> CASE WHEN best IS NULL THEN at ELSE filter(at, (x, j) -> j <> -best.i) END),
-            'by', s.by) END,
-          s -> s.at)""")
+          named_struct('m', shiftleft(1L, length(unit) + 1) - 1, 'by', transform(
+            array_sort(transform(edges, x -> struct(-x.score as s, x.b as b, x.e as e))),
+            x -> named_struct('ends', shiftleft(1L, x.b) | shiftleft(1L, x.e), 'inner', shiftleft(1L, x.e) - shiftleft(2L, x.b)))),
+          (s, step) -> named_struct('m', s.m & ~coalesce(get(filter(s.by,
+            x -> (s.m & x.ends) = x.ends AND (s.m & x.inner) <> 0 AND (s.m & x.inner & ((s.m & x.inner) - 1)) = 0), 0).inner, 0L), 'by', s.by),
+          s -> s.m)""")
+
+
+def bounds(mask: int) -> list[int]:
+    return [i for i in range(mask.bit_length()) if mask >> i & 1]
 
 
 def fold_viterbi(unknown: float) -> Column:
@@ -202,7 +205,25 @@ def fold_viterbi(unknown: float) -> Column:
 
 
 def merged(unit: str, pieces: dict[str, tuple[int, float]]) -> list[int]:
-    """The same merges with a heap, for long units."""
+    """The same bounds by merging in the worker: a scan for short units, a heap for long ones."""
+    if len(unit) > LONGEST_UNIT:
+        return _merged_with_heap(unit, pieces)
+    get, at = pieces.get, list(range(len(unit) + 1))
+    scores = [p[1] if (p := get(unit[i : i + 2])) else _NONE for i in at[:-2]]
+    while scores and (best := max(scores)) > _NONE:
+        i = scores.index(best)
+        del at[i + 1], scores[i]
+        if i:
+            scores[i - 1] = p[1] if (p := get(unit[at[i - 1] : at[i + 1]])) else _NONE
+        if i < len(scores):
+            scores[i] = p[1] if (p := get(unit[at[i] : at[i + 2]])) else _NONE
+    return at
+
+
+_NONE = float("-inf")
+
+
+def _merged_with_heap(unit: str, pieces: dict[str, tuple[int, float]]) -> list[int]:
     n = len(unit)
     after, before, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
     heap: list[tuple[float, int, int, int]] = []
@@ -227,97 +248,77 @@ def merged(unit: str, pieces: dict[str, tuple[int, float]]) -> list[int]:
     return [i for i in range(n) if alive[i]] + [n]
 
 
-class Ids(dict):
-    """unit -> ids, from bounds that the lattice gave, or else from characters."""
+class Ids:
+    """Encodes texts; keeps words' ids (the bytes of 32-bit numbers) while there is room. Units that the lattice did not cut are merged here by the same rule."""
 
-    def __init__(self, pieces: dict[str, tuple[int, float]], byte: tuple[int, ...], unknown: int) -> None:
-        super().__init__()
-        self.pieces, self.byte, self.unknown = pieces, byte, unknown
+    def __init__(self, near: np.ndarray, pieces: dict[str, tuple[int, float]], byte: tuple[int, ...], unknown: int, masks: dict[str, int]) -> None:
+        self.near, self.pieces, self.byte, self.unknown = near, pieces, byte, unknown
+        self.units = {u: self.put(u, bounds(m)) for u, m in masks.items()}
+        self.words: dict[str, bytes] = {}
+        self.rare: dict[str, bytes] = {}
 
-    def put(self, unit: str, cuts: list[int]) -> tuple[int, ...]:
+    def put(self, unit: str, cuts: list[int]) -> bytes:
         out: list[int] = []
-        for a, b in zip(cuts, cuts[1:], strict=False):
+        for a, b in pairwise(cuts):
             p = self.pieces.get(unit[a:b])
             out += [p[0]] if p else [self.byte[x] for x in unit[a:b].encode()] if self.byte else [self.unknown]
-        return tuple(out)
+        return array("i", out).tobytes()
+
+    def learn(self, words: list[str]) -> None:
+        """Works out the ids of new words, all at once."""
+        if not words:
+            return
+        units, ends = cut_all(list(map(marked, words)), self.near)
+        known, kept = self.units.get, self.rare
+        missing = {u for u in units if known(u) is None and u not in kept}
+        if len(kept) + len(missing) > RARE_ENTRIES:
+            kept.clear()
+            missing = {u for u in units if known(u) is None}
+        for u in missing:
+            kept[u] = self.put(u, merged(u, self.pieces))
+        ids = [known(u) or kept[u] for u in units]
+        self.words.update(zip(words, [b"".join(ids[a:b]) for a, b in pairwise([0, *ends])], strict=True))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        split = [words_of(t) for t in texts]
+        seen = set().union(*split)
+        new = seen.difference(self.words)
+        if len(self.words) + len(new) > CACHE_ENTRIES:
+            self.words, new = {}, seen
+        self.learn(sorted(new))
+        get = self.words.__getitem__
+        return [b"".join(map(get, words)) for words in split]
+
+
+Batches = Iterator[pa.RecordBatch]
+
+
+def encoder(docs: DataFrame, v: Vocabulary, frequent: int) -> Callable[[Batches], Batches]:
+    """Cuts the corpus's frequent units on the lattice; gives the function that encodes batches of ``doc_id, text``."""
+    if v.kind != "bpe":
+        raise ValueError("unigram models: use lattice() and fold_viterbi()")
+    spark, near = docs.sparkSession, v.side_by_side()
+    top = materialize(unit_counts(docs, near).orderBy(F.desc("n"), "unit").limit(frequent).select("unit"), "units")
+    cut = lattice(top.repartition("unit"), piece_table(spark, v), v.longest).select("unit", fold_merges().alias("mask"))
+    shared = spark.sparkContext.broadcast((near, v.pieces, v.byte, v.unknown, {r.unit: r.mask for r in cut.toLocalIterator()}))
 
-    def __missing__(self, unit: str) -> tuple[int, ...]:
-        if len(unit) == 1:
-            got = self[unit] = self.put(unit, [0, 1])
-            return got
-        return self.put(unit, merged(unit, self.pieces))
+    def run(batches: Batches) -> Batches:
+        ids = Ids(*shared.value)
+        for batch in batches:
+            for part in slices(batch, 1, 1 << 20):
+                rows = part.column(1).to_pylist()
+                out = ids.encode(rows)
+                offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in out]))).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(out), np.int32)))
+                yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array([_sha1(t.replace(MARK, " ")) for t in rows], pa.string())], ["doc_id", "ids", "text_sha1"])
+
+    return run
 
 
 def encode(docs: DataFrame, v: Vocabulary, frequent: int = FREQUENT) -> DataFrame:
     """``doc_id, ids, text_sha1`` of every row of ``docs`` (``doc_id``, ``text``); the digest is of the text that the ids stand for."""
-    spark, docs = docs.sparkSession, texts(docs)
-    near = v.side_by_side()
-    units = materialize(unit_counts(docs, near), "units")
-    if v.kind == "bpe":
-        edges, fold = lattice(units.repartition("unit"), piece_table(spark, v), v.longest), fold_merges()
-    else:
-        raise ValueError("unigram models: use lattice() and fold_viterbi()")
-    cut = materialize(edges.select("unit", fold.alias("cuts")), "cuts")
-    top = units.orderBy(F.desc("n"), "unit").limit(frequent)
-    first = {r.unit: r.cuts for r in top.join(cut, "unit").select("unit", "cuts").toLocalIterator()}
-    shared = spark.sparkContext.broadcast((near, v.pieces, v.byte, v.unknown, first))
-
-    def key_of(d: int | None, text: str) -> int:
-        return xxhash.xxh3_64_intdigest(f"{d} {text}") - (1 << 63)
-
-    def missing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        near, *_, first = shared.value
-        units = Units(near)
-        for batch in batches:
-            for part in slices(batch):
-                keys: list[int] = []
-                found: list[str] = []
-                for d, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    own = {u for w in set(words_of(text)) for u in units[w] if u not in first and 2 <= len(u) <= LONGEST_UNIT}
-                    found += own
-                    keys += [key_of(d, text)] * len(own)
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(found, pa.string())], ["key", "unit"])
-
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        zip_ = zstandard.ZstdCompressor(3)
-        for batch in batches:
-            for part in slices(batch):
-                rows = list(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array([key_of(d, t) for d, t in rows], pa.int64()), part.column(0), pa.array([zip_.compress(t.encode()) for _, t in rows], pa.binary())], ["key", "doc_id", "packed"])
-
-    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        near, pieces, byte, unknown, first = shared.value
-        ids = Ids(pieces, byte, unknown)
-        for u, cuts in first.items():
-            ids[u] = ids.put(u, cuts)
-        units, words, unzip = Units(near), {}, zstandard.ZstdDecompressor()
-        for batch in batches:
-            for part in slices(batch, 1, 1 << 20):
-                out, sums = [], []
-                for raw, more in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
-                    text = unzip.decompress(raw).decode() if raw else ""
-                    own = {x["unit"]: ids.put(x["unit"], x["cuts"]) for x in more or ()}
-                    parts = []
-                    for w in words_of(text):
-                        got = words.get(w)
-                        if got is None:
-                            us = units[w]
-                            got = tuple(chain.from_iterable(own[u] if u in own else ids[u] for u in us))
-                            if len(w) <= LONGEST_UNIT:
-                                if len(words) >= CACHE_ENTRIES:
-                                    words.clear()
-                                words[w] = got
-                        parts.append(got)
-                    flat = np.fromiter(chain.from_iterable(parts), np.int32)
-                    out.append(flat)
-                    sums.append(_sha1(text.replace(MARK, " ")))
-                offsets = np.concatenate(([0], np.cumsum([len(x) for x in out]))).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(out) if out else np.empty(0, np.int32)))
-                yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(sums, pa.string())], ["doc_id", "ids", "text_sha1"])
-
-    extra = docs.mapInArrow(missing, "key long, unit string").join(cut, "unit").groupBy("key").agg(F.collect_list(F.struct("unit", "cuts")).alias("more"))  # of one document
-    rows = docs.mapInArrow(packed, "key long, doc_id long, packed binary").join(extra, "key", "left")
-    return rows.select("doc_id", "packed", "more").mapInArrow(assemble, "doc_id long, ids array<int>, text_sha1 string")
+    docs = texts(docs)
+    return docs.mapInArrow(encoder(docs, v, frequent), "doc_id long, ids array<int>, text_sha1 string")
 
 
 def _sha1(text: str) -> str:
@@ -326,30 +327,37 @@ def _sha1(text: str) -> str:
     return hashlib.sha1(text.encode()).hexdigest()
 
 
-def decode(rows: DataFrame, v: Vocabulary) -> DataFrame:
-    """``rows`` with the column ``decoded``: the text of the column ``ids`` (null: empty)."""
+def decoder(spark: SparkSession, v: Vocabulary, at: int, digest: bool) -> Callable[[Batches], Batches]:
+    """The function that adds ``decoded`` to batches whose column number ``at`` is ids."""
     table = []
     for piece, kind in v.all:
         table.append(bytes([int(piece[3:5], 16)]) if kind == 6 else b" \xe2\x81\x87 " if kind == 2 else b"" if kind == 3 else piece.replace(MARK, " ").encode())
-    shared = rows.sparkSession.sparkContext.broadcast(table)
-    at = rows.columns.index("ids")
+    shared = spark.sparkContext.broadcast(table)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
+    def run(batches: Batches) -> Batches:
+        piece = shared.value.__getitem__
         for batch in batches:
             column = batch.column(at)
-            offsets, flat, null = column.offsets.to_numpy(), column.values.to_pylist(), column.is_null().to_pylist()
+            offsets, values, null = column.offsets.to_numpy(), column.values, column.is_null().to_pylist()
             found = []
             for a, b, no in zip(offsets[:-1], offsets[1:], null, strict=True):
-                raw = b"" if no else b"".join([table[i] for i in flat[a:b]])
-                found.append((raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace"))
+                raw = b"" if no else b"".join(map(piece, values.slice(a, b - a).to_numpy().tolist()))
+                text = (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
+                found.append(_sha1(text) if digest else text)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], [*batch.schema.names, "decoded"])
 
+    return run
+
+
+def decode(rows: DataFrame, v: Vocabulary) -> DataFrame:
+    """``rows`` with the column ``decoded``: the text of the column ``ids`` (null: empty)."""
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(run, f"{fields}, decoded string")
+    return rows.mapInArrow(decoder(rows.sparkSession, v, rows.columns.index("ids"), False), f"{fields}, decoded string")
 
 
-def round_trip(docs: DataFrame, v: Vocabulary) -> DataFrame:
-    """``doc_id, n_pieces, ids, round_trip``: each text's ids, and if they decode to it."""
-    rows = decode(encode(docs, v), v)
-    return rows.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", (F.sha1(F.col("decoded").cast("binary")) == F.col("text_sha1")).alias("round_trip"))
+def round_trip(docs: DataFrame, v: Vocabulary, frequent: int = FREQUENT) -> DataFrame:
+    """``doc_id, n_pieces, ids, round_trip``: each text's ids, and if they decode to it; both ways in one pass of the same workers."""
+    docs = texts(docs)
+    forth, back = encoder(docs, v, frequent), decoder(docs.sparkSession, v, 1, True)
+    rows = docs.mapInArrow(lambda batches: back(forth(batches)), "doc_id long, ids array<int>, text_sha1 string, decoded string")
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", (F.col("decoded") == F.col("text_sha1")).alias("round_trip"))
