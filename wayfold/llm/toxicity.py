@@ -34,7 +34,7 @@ GRAMS = (3, 4, 5)
 MAX_PER_CLASS = (4_000, 2_000)
 MAX_TRAIN_CHARS = 8_000
 THRESHOLD = 0.3
-STEPS_ALL, STEPS_MAX, RATE, DECAY = 25, 60, 0.05, 1e-4
+STEPS_ALL, STEPS_MAX, RATE, DECAY = 25, 60, 0.05, 1e-5
 CACHE_ENTRIES = 300_000
 EDGE = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»“”‘’„…–—·¿¡"
 
@@ -163,7 +163,7 @@ def train(rows: list[tuple[str, int]], seed: int = 11) -> Model:
         per_word = np.bincount(slot[used].ravel(), np.repeat(grad[used] / WINDOW, WINDOW), len(size) + 1)[:-1]
         per_bucket = np.bincount(flat, (per_word / size)[word_of], BUCKETS)
         slope = np.array([v @ per_word for v in vectors])
-        emb = [moved(d, e, (per_bucket * out[d] + DECAY * e / len(y)).astype(np.float32), step).astype(np.float32) for d, e in enumerate(emb)]
+        emb = [moved(d, e, (per_bucket * out[d] + DECAY * e).astype(np.float32), step).astype(np.float32) for d, e in enumerate(emb)]
         out, bias = moved(-1, out, slope, step), moved(-2, bias, grad.sum(), step)
     tops = np.maximum.reduceat(logits, first)
     value = sum(e * o for e, o in zip(emb, out, strict=True)).astype(np.float32)
