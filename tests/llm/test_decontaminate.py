@@ -68,6 +68,55 @@ def test_lemma_drops_no_match_within_budget():
         assert len(k) >= dc.least_hits(dc.STRETCH)
 
 
+def test_replaced_phrase_keeps_the_exact_stretches():
+    rng = random.Random(21)
+    text = lambda n: "".join(rng.choice("abcdefghijkl") for _ in range(n))
+    for head, phrase, tail in [(100, 25, 100), (150, 35, 150), (90, 20, 90), (40, 30, 200)] * 5:
+        item = text(head + phrase + tail)
+        doc = text(300) + item[:head] + text(phrase) + item[head + phrase :] + text(300)
+        ((i, size, edits, place),) = dc.Index([(7, dc.normal(item))]).matches(doc)
+        assert i == 7 and max(head, tail) <= size <= len(item) and edits <= dc.budget(size) and 300 <= place < 300 + len(item)
+
+
+def test_edits_ten_bytes_apart():
+    rng = random.Random(22)
+    for _ in range(20):
+        item = "".join(rng.choice("abcdefghijkl") for _ in range(80))
+        own = list(item)
+        for at in range(15, 65, 10):
+            own[at] = "z"
+        doc = "w" * 100 + "".join(own) + "w" * 100
+        assert [m[0] for m in dc.Index([(3, dc.normal(item + "q" * 40))]).matches(doc)] == [3]
+
+
+def test_every_stretch_is_decided_as_brute_force_does():
+    rng = random.Random(23)
+    seen = set()
+    for case in range(24):
+        item = "".join(rng.choice("abcdefgh") for _ in range(110))
+        own = list(item)
+        for _ in range(rng.randrange(4, 16)):
+            at = rng.randrange(len(own))
+            own[at] = rng.choice(["", "z", own[at] + "y"])
+        index = dc.Index([(1, dc.normal(item))])
+        (_, mine), text = index.items[0], dc.normal("k" * 30 + "".join(own) + "k" * 30)
+        want = False
+        for a in range(len(mine) - dc.STRETCH + 1):
+            row = [0] * (len(text) + 1)
+            for x in mine[a : a + dc.STRETCH]:
+                new = [row[0] + 1]
+                for j, y in enumerate(text, 1):
+                    new.append(min(row[j - 1] + (x != y), row[j] + 1, new[-1] + 1))
+                row = new
+            want = want or min(row) <= dc.budget(dc.STRETCH)
+        got = index.matches(text.decode())
+        assert got or not want, case
+        for _, size, edits, place in got:
+            assert size >= dc.STRETCH and edits <= dc.budget(size) and (want or size > dc.STRETCH)
+        seen.add(want)
+    assert seen == {True, False}
+
+
 def test_blocks_and_empty(spark, monkeypatch):
     docs, items, want = made(2)
     monkeypatch.setattr(dc, "BLOCK_BYTES", 200)

@@ -6,10 +6,11 @@ on the diagonal (place in document - place in item). Hits are counted by item in
 diagonal bands, which overlap by half so that a match whose edits shift it by up to half
 a band lies in one band whole. By the q-gram lemma a stretch of ``m`` bytes with ``e``
 edits shares at least ``m + 1 - q - q * e`` q-grams; bands with fewer hits are dropped. What
-is left is verified by banded alignment.
+is left is verified by banded alignment, which looks for the longest stretch within budget in it.
 
 A document is contaminated by an item if it holds a stretch of it of ``STRETCH`` bytes (or
-all of a shorter one) with one edit in ``BYTES_PER_EDIT`` bytes at most.
+all of a shorter one) with one edit in ``BYTES_PER_EDIT`` bytes at most, or a longer stretch
+within its budget whose edits shift it by half a band at most.
 
 The items go to the workers in blocks of bounded size (one block, usually); each block is
 matched against all documents in a map without any shuffle.
@@ -34,8 +35,10 @@ Q = 10
 STRETCH = 80
 BYTES_PER_EDIT = 16
 BAND = 16
-GAP = 40
-"""Bytes of an item without a hit, at most, within one stretch."""
+FAR = 4 * STRETCH + Q
+"""Hits that are further apart are looked at separately: so long a part without a hit has so many edits that one side alone has a stretch within budget."""
+STARTS = 1 << 12
+"""Places of an item from which alignments are carried on at once."""
 BLOCK_BYTES = 8 << 20
 """Normalised item text in one block, at most (one item at least)."""
 TABLE_BITS = 22
@@ -112,40 +115,110 @@ class Index:
             for b in np.flatnonzero(count >= self.least[kinds >> 42]):
                 mine = inverse == b
                 i = int(kinds[b] >> 42)
-                got = self._verified(i, place[mine], at[mine], raw)
+                low = (int(kinds[b]) & ((1 << 42) - 1)) * BAND - shift - (1 << 40)
+                got = self._verified(i, place[mine], at[mine], low, raw)
                 if got and (i not in found or (-got[0], got[1], got[2]) < (-found[i][0], found[i][1], found[i][2])):
                     found[i] = got
         return sorted((self.items[i][0], *x) for i, x in found.items())
 
-    def _verified(self, i: int, place: np.ndarray, at: np.ndarray, raw: bytes) -> tuple[int, int, int] | None:
+    def _verified(self, i: int, place: np.ndarray, at: np.ndarray, low: int, raw: bytes) -> tuple[int, int, int] | None:
+        """(bytes, edits, place in the text) of the longest stretch within budget near the diagonals from ``low`` on."""
         own = self.items[i][1]
         need = min(len(own), STRETCH)
         order = np.argsort(place, kind="stable")
         place, at = place[order], at[order]
         best = None
-        for part in np.split(np.arange(len(place)), np.flatnonzero(np.diff(place) > GAP + Q) + 1):
+        for part in np.split(np.arange(len(place)), np.flatnonzero(np.diff(place) > FAR) + 1):
             if len(part) < least_hits(need):
                 continue
             a, z = int(place[part[0]]), int(place[part[-1]]) + Q
             p, e = int(at[part].min()), int(at[part].max()) + Q
-            if len(own) <= STRETCH:  # all of it
-                p, e, a, z = max(0, p - a), min(len(raw), e + len(own) - z), 0, len(own)
-            else:  # an edit near an end hides q-grams of the stretch
-                more = min(a, p, max(0, need - (z - a)))
-                a, p = a - more, p - more
-                more = min(len(own) - z, len(raw) - e, max(0, need - (z - a)))
-                z, e = z + more, e + more
-            if z - a < need:
-                continue
-            most = budget(z - a)
-            edits = 0 if own[a:z] == raw[p:e] else distance(own[a:z], raw[p:e], most)
-            if edits <= most and (best is None or (z - a, -edits) > (best[0], -best[1])):
-                best = (z - a, edits, p)
+            if z - a >= need and own[a:z] == raw[p:e]:
+                got = z - a, 0, p
+            else:
+                a, z = max(0, a - need), min(len(own), z + need)
+                got = longest(own[a:z], raw, a + low, need)
+            if got and (best is None or (-got[0], got[1], got[2]) < (-best[0], best[1], best[2])):
+                best = got
+        return best
+
+
+def runs(own: bytes, raw: bytes, low: int) -> np.ndarray:
+    """Bytes that are equal from place ``j`` of ``own`` on, by diagonal (from ``low - BAND // 2``, two bands wide) and ``j``."""
+    n, wide = len(own), 2 * BAND
+    text = np.full(n + wide - 1, -1, np.int16)
+    first = low - BAND // 2
+    a, z = max(0, first), min(len(raw), first + len(text))
+    if a < z:
+        text[a - first : z - first] = np.frombuffer(raw, np.uint8, z - a, a)
+    differs = np.lib.stride_tricks.sliding_window_view(text, n) != np.frombuffer(own, np.uint8)
+    at = np.arange(n, dtype=np.int32)
+    ends = np.minimum.accumulate(np.where(differs, at, np.int32(n))[:, ::-1], axis=1)[:, ::-1]
+    return np.pad(ends - at, ((0, 0), (0, 1)))
+
+
+def reaches(run: np.ndarray, start: np.ndarray, diagonal: np.ndarray | None, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For 0 to ``most`` edits: the furthest place reached from each start on each diagonal, and how many equal bytes end there.
+
+    A start is on its diagonal, or (None) on any. Bytes beyond the text differ from all, which costs as much as leaving them out.
+    """
+    wide, n = len(run), run.shape[1] - 1
+    every = np.arange(wide)[None, :]
+    far = np.repeat(start[:, None], wide, axis=1).astype(np.int64)
+    if diagonal is not None:
+        far[every != diagonal[:, None]] = -1
+    for edits in range(most + 1):
+        if edits:
+            new = np.where(far < 0, -1, far + 1)
+            new[:, :-1] = np.maximum(new[:, :-1], np.where(far[:, 1:] < 0, -1, far[:, 1:] + 1))
+            new[:, 1:] = np.maximum(new[:, 1:], far[:, :-1])
+            far = np.minimum(new, n)
+        equal = np.where(far < 0, 0, run[every, np.maximum(far, 0)])
+        far = far + equal
+        yield far, equal
+
+
+def longest(own: bytes, raw: bytes, low: int, need: int) -> tuple[int, int, int] | None:
+    """(bytes, edits, place in ``raw``) of the longest stretch of ``own`` within budget, of ``need`` bytes at least.
+
+    A stretch that is long enough without what lies beyond its first and last run of ``Q`` equal
+    bytes stays within budget if it ends there, and it begins where its first run does: few starts are to
+    be tried. The others hold one of ``need`` bytes within budget, looked for at every place.
+    """
+    run, n = runs(own, raw, low), len(own)
+    first = low - BAND // 2
+    best: tuple[int, int, int] | None = None
+    begins = run[:, :-1] >= Q
+    begins[:, 1:] &= run[:, :-2] == 0
+    diagonal, start = np.nonzero(begins)
+    keep = np.flatnonzero(start <= n - need)
+    for k in np.split(keep, range(STARTS, len(keep), STARTS)):
+        a, d = start[k], diagonal[k]
+        for edits, (far, equal) in enumerate(reaches(run, a, d, budget(n - int(a.min())) if len(a) else -1)):
+            size = np.where(equal >= Q, far, 0).max(axis=1) - a
+            for j in np.flatnonzero(size >= max(need, BYTES_PER_EDIT * edits)):
+                got = int(size[j]), edits, max(0, int(a[j] + d[j]) + first)
+                if best is None or (-got[0], got[1], got[2]) < (-best[0], best[1], best[2]):
+                    best = got
+    if best is not None and best[0] > need:
         return best
+    every = np.arange(n - need + 1)
+    for a in np.split(every, range(STARTS, len(every), STARTS)):
+        for edits, (far, _) in enumerate(reaches(run, a, None, budget(need))):
+            if best is not None and edits >= best[1]:
+                break
+            whole = np.flatnonzero(far.max(axis=1) >= a + need)
+            if len(whole):
+                one = np.repeat(a[whole[:1]], len(run))
+                *_, (last, _) = reaches(run, one, np.arange(len(run)), edits)
+                d = int(np.flatnonzero(last.max(axis=1) >= one + need)[0])
+                best = need, edits, max(0, int(one[0]) + d + first)
+                break
+    return best
 
 
 def distance(a: bytes, b: bytes, most: int) -> int:
-    """Edit distance by banded alignment; ``most + 1`` if it is above ``most``."""
+    """Edit distance by banded alignment; ``most + 1`` if it is above ``most`` (the plain form, for tests)."""
     if abs(len(a) - len(b)) > most:
         return most + 1
     far = most + 1
