@@ -60,7 +60,8 @@ def trigrams(text: Column) -> Column:
 def drop_stop_words(query: Column) -> Column:
     """Of three words or more, the inner ones that are lower-case stop-words go; the first and last stay."""
     words = F.split(F.trim(F.regexp_replace(query, r"\s+", " ")), " ")
-    kept = F.filter(words, lambda w, i: (i == 0) | (i == F.size(words) - 1) | ~w.isin(sorted(set(STOP_WORDS))))
+    inner = F.filter(F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0))), lambda w: ~w.isin(sorted(set(STOP_WORDS))))  # no words in the lambda: they would be split anew for each
+    kept = F.concat(F.slice(words, 1, 1), inner, F.slice(words, -1, 1))
     return F.when((F.size(words) < 3) | (F.size(kept) == F.size(words)), query).otherwise(F.array_join(kept, " "))
 
 

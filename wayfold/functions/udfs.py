@@ -24,17 +24,17 @@ def fold(text: str) -> str:
     """ASCII where a letter has a Latin form; other scripts pass."""
     if text.isascii():
         return text
-    out = []
-    for c in unicodedata.normalize("NFC", text):
-        low = c.lower()
-        hit = TABLE.get(low)
-        if hit is None:
-            base = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
-            hit = "".join(TABLE.get(x.lower(), x) if not x.isascii() else x for x in base)
-        elif c != low:
-            hit = hit[:1].upper() + hit[1:]
-        out.append(hit)
-    return "".join(out)
+    text = unicodedata.normalize("NFC", text)
+    return text.translate({ord(c): folded_letter(c) for c in set(text)})
+
+
+def folded_letter(c: str) -> str:
+    low = c.lower()
+    hit = TABLE.get(low)
+    if hit is None:
+        base = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+        return "".join(TABLE.get(x.lower(), x) if not x.isascii() else x for x in base)
+    return hit if c == low else hit[:1].upper() + hit[1:]
 
 
 @F.pandas_udf(T.StringType())

@@ -49,7 +49,7 @@ VIEWS = {
     "v_years": """
         SELECT event_id AS id, CASE event_id % 9 WHEN 0 THEN CAST(event_id AS STRING) WHEN 1 THEN concat(CAST(1000 + event_id % 1000 AS STRING), '-09-01') WHEN 2 THEN concat('before ', CAST(event_id AS STRING)) WHEN 3 THEN concat(CAST(event_id AS STRING), ' BC') WHEN 4 THEN concat('ca. ', CAST(event_id AS STRING), 'bc') WHEN 5 THEN concat('circa ca.', CAST(event_id AS STRING)) WHEN 6 THEN concat(' C. ', CAST(event_id AS STRING), ' ') WHEN 7 THEN 'unknown' ELSE '' END AS raw FROM events""",
     "v_text": """
-        SELECT doc_id AS id, lang, substring(text, 1, 60) AS raw FROM documents""",
+        SELECT doc_id AS id, lang, text AS raw FROM documents""",
     "v_queries": """
         SELECT CAST(s_suppkey AS BIGINT) AS qid, concat(CASE s_suppkey % 3 WHEN 0 THEN 'red ' WHEN 1 THEN 'Supplier ' ELSE 'small blue ' END, p_name) AS q, CASE WHEN s_suppkey % 2 = 0 THEN 'poi' ELSE 'address' END AS layer, CAST(s_suppkey % 90 AS DOUBLE) AS focus_lon, CAST(s_suppkey % 45 AS DOUBLE) AS focus_lat FROM supplier JOIN part ON p_partkey = s_suppkey WHERE s_suppkey < 20""",
 }
