@@ -5,6 +5,7 @@ import pytest
 from wayfold.functions.text import STOP_WORDS
 from wayfold.functions.udfs import fold
 from wayfold.plans.registry import queries
+from wayfold.plans.views import view
 
 
 @pytest.fixture(scope="module")
@@ -34,3 +35,9 @@ def test_tests_and_filters_whole_texts(spark, long_texts):
         kept = [w for k, w in enumerate(words) if k in (0, len(words) - 1) or w not in STOP_WORDS]
         assert got[i] == (t if len(words) < 3 or kept == words else " ".join(kept))
     assert got[1].endswith("Straße city")
+
+
+def test_every_supplier_is_a_query(spark, tmp_path):
+    spark.range(1, 301).selectExpr("id AS s_suppkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.range(1, 401).selectExpr("id AS p_partkey", "concat('part ', id) AS p_name").write.parquet(f"{tmp_path}/part.parquet")
+    assert sorted(r.qid for r in view(spark, str(tmp_path), "v_queries").collect()) == list(range(1, 301))

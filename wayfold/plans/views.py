@@ -51,7 +51,7 @@ VIEWS = {
     "v_text": """
         SELECT doc_id AS id, lang, text AS raw FROM documents""",
     "v_queries": """
-        SELECT CAST(s_suppkey AS BIGINT) AS qid, concat(CASE s_suppkey % 3 WHEN 0 THEN 'red ' WHEN 1 THEN 'Supplier ' ELSE 'small blue ' END, p_name) AS q, CASE WHEN s_suppkey % 2 = 0 THEN 'poi' ELSE 'address' END AS layer, CAST(s_suppkey % 90 AS DOUBLE) AS focus_lon, CAST(s_suppkey % 45 AS DOUBLE) AS focus_lat FROM supplier JOIN part ON p_partkey = s_suppkey WHERE s_suppkey < 20""",
+        SELECT CAST(s_suppkey AS BIGINT) AS qid, concat(CASE s_suppkey % 3 WHEN 0 THEN 'red ' WHEN 1 THEN 'Supplier ' ELSE 'small blue ' END, p_name) AS q, CASE WHEN s_suppkey % 2 = 0 THEN 'poi' ELSE 'address' END AS layer, CAST(s_suppkey % 90 AS DOUBLE) AS focus_lon, CAST(s_suppkey % 45 AS DOUBLE) AS focus_lat FROM supplier JOIN part ON p_partkey = s_suppkey""",
 }
 
 
