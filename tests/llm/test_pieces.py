@@ -57,9 +57,43 @@ def test_viterbi_equals_brute_force(spark):
         assert list(r.at) == best(r.unit)[1]
 
 
-def test_heap_equals_fold(spark, vocabulary):
+def test_merging_at_once_and_heap_equal_fold(spark, vocabulary):
     rng = random.Random(8)
-    units = {"".join(rng.choice("theandiong") for _ in range(rng.randrange(2, 30))) for _ in range(200)}
+    units = {"".join(rng.choice("theandiong▁é‍") for _ in range(rng.randrange(2, 48))) for _ in range(300)}
     df = spark.createDataFrame([(u,) for u in units], "unit string")
-    for r in pc.lattice(df, pc.piece_table(spark, vocabulary), vocabulary.longest).select("unit", pc.fold_merges().alias("at")).collect():
-        assert pc.bounds(r.at) == pc.merged(r.unit, vocabulary.pieces)
+    v = vocabulary
+    some = sorted(units) + ["x", "‍", "ab" * 200]
+    at_once = dict(zip(some, pc.Merger(v.pieces, v.byte, v.unknown).ids(some), strict=True))
+    assert all(ids == pc.put(u, pc.merged(u, v.pieces), v.pieces, v.byte, v.unknown) for u, ids in at_once.items())
+    for r in pc.lattice(df, pc.piece_table(spark, v), v.longest).select("unit", pc.fold_merges().alias("at")).collect():
+        assert pc.bounds(r.at) == pc.merged(r.unit, v.pieces)
+    assert pc.Merger(v.pieces, v.byte, v.unknown).ids([]) == []
+
+
+def test_caches_that_overflow_give_the_same_ids(vocabulary, monkeypatch):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_proto=pc.model_file())
+    monkeypatch.setattr(pc, "CACHE_ENTRIES", 40)
+    monkeypatch.setattr(pc, "RARE_ENTRIES", 20)
+    v, rng = vocabulary, random.Random(4)
+    ids = pc.Ids(v.side_by_side(), v.pieces, v.byte, v.unknown, {})
+    for _ in range(60):
+        texts = [" ".join("".join(rng.choice("etaoinshr,.") for _ in range(rng.randrange(1, 9))) for _ in range(rng.randrange(1, 12))) for _ in range(5)]
+        assert [list(memoryview(x).cast("i")) for x in ids.encode(texts)] == [sp.encode(t) for t in texts]
+
+
+def test_long_text(spark, vocabulary):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_proto=pc.model_file())
+    text = " ".join(["word", "y" * 3000, "the\nend."] * 1000)
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    row = pc.round_trip(df, vocabulary).first()
+    assert row.round_trip and list(row.ids) == sp.encode(text) and row.n_pieces == len(row.ids)
+
+
+def test_most_frequent_words(spark):
+    counts = spark.createDataFrame([(f"w{i}", 1 + i // 10) for i in range(100)], "word string, n long")
+    assert [pc.most_frequent(counts, k).count() for k in (0, 9, 10, 25, 100, 1000)] == [0, 0, 10, 20, 100, 100]
+    assert {r.unit for r in pc.most_frequent(counts, 25).collect()} == {f"w{i}" for i in range(80, 100)}

@@ -1,20 +1,23 @@
 """SentencePiece encoding and decoding on a relational lattice.
 
-Words are cut into units at places that no piece spans (before a run of word marks, and
-between any two characters that stand side by side in no piece), so a text's ids are its
-units' ids in order. The units of the whole corpus are counted with map-side combining.
-The most frequent ones (``FREQUENT`` at most, whatever the input) make the lattice: their
-substrings of 2 to the longest piece's length are exploded and equi-joined to the piece
-table, and the edges are grouped by unit. Each group is folded by ``aggregate``:
+The words of the whole corpus are counted with map-side combining. The most frequent ones
+(``FREQUENT`` at most, whatever the input; the least count is read off a histogram of
+bounded size) make the lattice: their substrings of 2 to the longest piece's length are
+exploded and equi-joined to the piece table, and the edges are grouped by word. Each
+group is folded by ``aggregate``:
 
 * unigram models: Viterbi, the path with the best sum of scores;
 * BPE models: a sum of scores does not give their ids, so the fold replays the merges on
   the same edges: of the pairs of neighbours that an edge covers, that with the best
   score (the leftmost of equals) becomes one, until there is none.
 
-The result, a number a unit, goes to all workers. Units that are rarer, or longer than
-``LONGEST_UNIT`` characters, are merged in the worker by the same rule with a heap: joining
-every rare unit back to its documents took three times the limit (see the README).
+The result, a list of ids a word, goes to all workers. Words that are rarer, or longer than
+``LONGEST_UNIT`` characters, are merged in the worker by the same rule: joining
+every rare word back to its documents took three times the limit (see the README). There
+they are cut into units at places that no piece spans (before a run of word marks, and
+between any two characters that stand side by side in no piece), so a word's ids are its
+units' ids in order; all new units of a slice are merged at once, one merge a unit a round.
+What a worker has learned stays with its copy of the broadcast, for its next tasks.
 
 Decoding maps ids to pieces with a table of the vocabulary's size.
 
@@ -23,8 +26,8 @@ Supported: models with the identity normalizer and no user-defined pieces, as
 UTF-8 bytes' pieces, or the unknown id if the model has none.
 
 Defined results: null and empty texts have no ids and decode to the empty text; repeated
-rows are encoded each; an empty table gives no rows. U+2581 stands for a space in the
-library too, and decodes to one.
+rows are encoded each; an empty table gives no rows; other columns are ignored. U+2581
+stands for a space in the library too, and decodes to one.
 """
 
 from __future__ import annotations
@@ -49,7 +52,9 @@ FREQUENT = 200_000
 LONGEST_UNIT = 48
 MAX_PIECES = 1 << 18
 """Largest vocabulary: what is broadcast has this bound."""
-COUNTS_HELD, CACHE_ENTRIES, RARE_ENTRIES = 200_000, 600_000, 250_000
+COUNTS_HELD, CACHE_ENTRIES, RARE_ENTRIES = 400_000, 800_000, 250_000
+STEPS = 32
+"""Classes of counts, for each doubling: the histogram has 64 times as many rows at most."""
 
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
@@ -83,8 +88,8 @@ def load(model: bytes) -> Vocabulary:
     norm = m.normalizer_spec
     if kind is None or norm.precompiled_charsmap or norm.remove_extra_whitespaces or not norm.add_dummy_prefix or m.trainer_spec.treat_whitespace_as_suffix or any(p.type == 4 for p in m.pieces) or len(m.pieces) > MAX_PIECES:
         raise ValueError("this kind of SentencePiece model is not supported")
-    if any(MARK in p.piece.lstrip(MARK) for p in m.pieces):
-        raise ValueError("pieces that span words are not supported")
+    if any(MARK in p.piece.lstrip(MARK) or "\n" in p.piece[1:] for p in m.pieces):
+        raise ValueError("pieces that span words or lines are not supported")
     pieces = {p.piece: (i, p.score) for i, p in enumerate(m.pieces) if p.type == 1}
     byte = tuple(i for i, p in enumerate(m.pieces) if p.type == 6)
     return Vocabulary(kind, pieces, byte if len(byte) == 256 else (), next(i for i, p in enumerate(m.pieces) if p.type == 2), tuple((p.piece, p.type) for p in m.pieces))
@@ -111,6 +116,11 @@ def marked(word: str) -> str:
     return word if word[:1] in ("\n", MARK) and word else MARK + word
 
 
+def bare(unit: str) -> str:
+    """A word as it is encoded, as ``words_of`` gives it."""
+    return unit[1:] if unit[:1] == MARK and unit[1:2] not in ("", "\n", MARK) else unit
+
+
 def cut_all(words: list[str], near: np.ndarray) -> tuple[list[str], list[int]]:
     """The units of all words in one list, and where in it each word's end. near: sorted codes of the pairs that some piece spans."""
     big = "".join(words)
@@ -124,25 +134,16 @@ def cut_all(words: list[str], near: np.ndarray) -> tuple[list[str], list[int]]:
     return [big[i:j] for i, j in pairwise(flat)], np.searchsorted(at, ends).tolist()
 
 
-def unit_counts(docs: DataFrame, near: np.ndarray) -> DataFrame:
-    """``unit, n`` of the distinct units with 2 to ``LONGEST_UNIT`` characters."""
-    shared = docs.sparkSession.sparkContext.broadcast(near)
+def word_counts(docs: DataFrame) -> DataFrame:
+    """``word, n`` of the distinct words with 2 to ``LONGEST_UNIT`` characters, as they are encoded."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
 
         def flush() -> pa.RecordBatch:
-            total: dict[str, int] = {}
-            if seen:
-                units, ends = cut_all(list(map(marked, seen)), shared.value)
-                counts, at = list(seen.values()), 0
-                for n, end in zip(counts, ends, strict=True):
-                    for u in units[at:end]:
-                        if 2 <= len(u) <= LONGEST_UNIT:
-                            total[u] = total.get(u, 0) + n
-                    at = end
+            rows = [(m, n) for w, n in seen.items() if 2 <= len(m := marked(w)) <= LONGEST_UNIT]
             seen.clear()
-            return pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["unit", "n"])
+            return pa.RecordBatch.from_arrays([pa.array([m for m, _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())], ["word", "n"])
 
         for batch in batches:
             for part in slices(batch):
@@ -152,7 +153,19 @@ def unit_counts(docs: DataFrame, near: np.ndarray) -> DataFrame:
                     yield flush()
         yield flush()
 
-    return docs.mapInArrow(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def most_frequent(counts: DataFrame, most: int) -> DataFrame:
+    """``unit``: the words of the highest classes of counts that hold ``most`` words at most together."""
+    step = F.floor(F.log2("n") * STEPS)
+    least, total = None, 0
+    for r in sorted(counts.groupBy(step.alias("step")).agg(F.count("*").alias("words")).collect(), reverse=True):  # 64 * STEPS rows at most
+        total += r.words
+        if total > most:
+            break
+        least = r.step
+    return counts.where(F.lit(False) if least is None else step >= least).select(F.col("word").alias("unit"))
 
 
 def piece_table(spark: SparkSession, v: Vocabulary) -> DataFrame:
@@ -204,26 +217,17 @@ def fold_viterbi(unknown: float) -> Column:
           best -> element_at(best, -1).at)""")
 
 
-def merged(unit: str, pieces: dict[str, tuple[int, float]]) -> list[int]:
-    """The same bounds by merging in the worker: a scan for short units, a heap for long ones."""
-    if len(unit) > LONGEST_UNIT:
-        return _merged_with_heap(unit, pieces)
-    get, at = pieces.get, list(range(len(unit) + 1))
-    scores = [p[1] if (p := get(unit[i : i + 2])) else _NONE for i in at[:-2]]
-    while scores and (best := max(scores)) > _NONE:
-        i = scores.index(best)
-        del at[i + 1], scores[i]
-        if i:
-            scores[i - 1] = p[1] if (p := get(unit[at[i - 1] : at[i + 1]])) else _NONE
-        if i < len(scores):
-            scores[i] = p[1] if (p := get(unit[at[i] : at[i + 2]])) else _NONE
-    return at
-
-
-_NONE = float("-inf")
+def put(unit: str, cuts: list[int], pieces: dict[str, tuple[int, float]], byte: tuple[int, ...], unknown: int) -> bytes:
+    """The ids between a unit's bounds, as the bytes of 32-bit numbers."""
+    out: list[int] = []
+    for a, b in pairwise(cuts):
+        p = pieces.get(unit[a:b])
+        out += [p[0]] if p else [byte[x] for x in unit[a:b].encode()] if byte else [unknown]
+    return array("i", out).tobytes()
 
 
-def _merged_with_heap(unit: str, pieces: dict[str, tuple[int, float]]) -> list[int]:
+def merged(unit: str, pieces: dict[str, tuple[int, float]]) -> list[int]:
+    """The bounds that merges leave, with a heap: for long units."""
     n = len(unit)
     after, before, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
     heap: list[tuple[float, int, int, int]] = []
@@ -248,116 +252,209 @@ def _merged_with_heap(unit: str, pieces: dict[str, tuple[int, float]]) -> list[i
     return [i for i in range(n) if alive[i]] + [n]
 
 
+class Merger:
+    """Merges many units at once: in each round the best pair of each unit (the leftmost of equals) becomes one."""
+
+    CHARS = 1 << 18
+    NONE = np.int32(1 << 30)
+
+    def __init__(self, pieces: dict[str, tuple[int, float]], byte: tuple[int, ...], unknown: int) -> None:
+        self.pieces, self.byte, self.unknown = pieces, byte, unknown
+        self.symbol = np.arange(0x110000, dtype=np.int64) + self.CHARS  # characters without a piece
+        for p, (i, _) in pieces.items():
+            if len(p) == 1:
+                self.symbol[ord(p)] = i
+        order = {s: r for r, s in enumerate(sorted({s for _, s in pieces.values()}, reverse=True))}
+
+        def of(p: str) -> int | None:
+            return int(self.symbol[ord(p)]) if len(p) == 1 else found[0] if (found := pieces.get(p)) else None
+
+        pairs = {}
+        for p, (i, score) in pieces.items():
+            for k in range(1, len(p)):
+                if (a := of(p[:k])) is not None and (b := of(p[k:])) is not None:
+                    pairs[a << 21 | b] = order[score], i
+        self.key = np.array([-1, *sorted(pairs)], np.int64)
+        self.rank = np.array([self.NONE, *(pairs[k][0] for k in self.key[1:].tolist())], np.int32)
+        self.made = np.array([0, *(pairs[k][1] for k in self.key[1:].tolist())], np.int64)
+
+    def pair(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank of the pairs of symbols (the less the better), and what they become."""
+        key = a << 21 | b
+        at = np.searchsorted(self.key, key)
+        at[at == len(self.key)] = 0
+        at[self.key[at] != key] = 0
+        return self.rank[at], self.made[at]
+
+    def ids(self, units: list[str]) -> list[bytes]:
+        """Each unit's ids, as the bytes of 32-bit numbers."""
+        out: dict[int, bytes] = {i: put(u, merged(u, self.pieces), self.pieces, self.byte, self.unknown) for i, u in enumerate(units) if len(u) > LONGEST_UNIT}
+        if out:
+            short = iter(self.ids([u for u in units if len(u) <= LONGEST_UNIT]))
+            return [out[i] if i in out else next(short) for i in range(len(units))]
+        if not units:
+            return []
+        size = np.fromiter(map(len, units), np.int64, len(units))
+        symbol = self.symbol[np.frombuffer("".join(units).encode("utf-32-le"), "<u4")]
+        whose = np.repeat(np.arange(len(units)), size)
+        last, kept = symbol.copy(), np.ones(len(symbol), bool)
+        at, sym, own = (x[np.repeat(size > 1, size)] for x in (np.arange(len(symbol)), symbol, whose))
+        rank, made = np.full(len(sym), self.NONE), np.zeros(len(sym), np.int64)
+        inside = np.flatnonzero(own[:-1] == own[1:])
+        rank[inside], made[inside] = self.pair(sym[inside], sym[inside + 1])
+        while len(sym):
+            begin = np.concatenate(([0], np.flatnonzero(own[1:] != own[:-1]) + 1))
+            best = np.minimum.reduceat(rank, begin)
+            many = np.diff(np.append(begin, len(own)))
+            if (over := best == self.NONE).any():
+                ended = np.repeat(over, many)
+                last[at[ended]] = sym[ended]
+                at, sym, own, rank, made = (x[~ended] for x in (at, sym, own, rank, made))
+                best, many = best[~over], many[~over]
+                if not len(sym):
+                    break
+            hit = np.flatnonzero(rank == np.repeat(best, many))
+            hit = hit[np.concatenate(([True], own[hit[1:]] != own[hit[:-1]]))]
+            sym[hit] = made[hit]
+            kept[at[hit + 1]] = False
+            stay = np.ones(len(sym), bool)
+            stay[hit + 1] = False
+            at, sym, own, rank, made = (x[stay] for x in (at, sym, own, rank, made))
+            hit -= np.arange(len(hit))
+            for i in (hit, hit[hit > 0] - 1):
+                j = np.minimum(i + 1, len(sym) - 1)
+                rank[i], made[i] = self.pair(sym[i], sym[j])
+                rank[i[(j == i) | (own[i] != own[j])]] = self.NONE
+        return self._bytes(last[kept], whose[kept], len(units))
+
+    def _bytes(self, symbol: np.ndarray, whose: np.ndarray, n: int) -> list[bytes]:
+        odd = np.flatnonzero(symbol >= self.CHARS)
+        if len(odd):
+            spelled = [[self.byte[x] for x in chr(c).encode()] if self.byte else [self.unknown] for c in (symbol[odd] - self.CHARS).tolist()]
+            many = np.ones(len(symbol), np.int64)
+            many[odd] = [len(x) for x in spelled]
+            whose = np.repeat(whose, many)
+            replaced = np.repeat(symbol >= self.CHARS, many)
+            symbol = np.repeat(symbol, many)
+            symbol[replaced] = [x for xs in spelled for x in xs]
+        raw = symbol.astype("<i4").tobytes()
+        ends = np.cumsum(np.bincount(whose, minlength=n)) * 4
+        return [raw[a:b] for a, b in pairwise([0, *ends.tolist()])]
+
+
 class Ids:
-    """Encodes texts; keeps words' ids (the bytes of 32-bit numbers) while there is room. Units that the lattice did not cut are merged here by the same rule."""
+    """Encodes texts; keeps words' ids (the bytes of 32-bit numbers) while there is room, those of the lattice always."""
 
-    def __init__(self, near: np.ndarray, pieces: dict[str, tuple[int, float]], byte: tuple[int, ...], unknown: int, masks: dict[str, int]) -> None:
-        self.near, self.pieces, self.byte, self.unknown = near, pieces, byte, unknown
-        self.units = {u: self.put(u, bounds(m)) for u, m in masks.items()}
-        self.words: dict[str, bytes] = {}
+    def __init__(self, near: np.ndarray, pieces: dict[str, tuple[int, float]], byte: tuple[int, ...], unknown: int, frequent: dict[str, bytes]) -> None:
+        self.near, self.merger, self.frequent = near, Merger(pieces, byte, unknown), frequent
+        self.words = dict(frequent)
         self.rare: dict[str, bytes] = {}
 
-    def put(self, unit: str, cuts: list[int]) -> bytes:
-        out: list[int] = []
-        for a, b in pairwise(cuts):
-            p = self.pieces.get(unit[a:b])
-            out += [p[0]] if p else [self.byte[x] for x in unit[a:b].encode()] if self.byte else [self.unknown]
-        return array("i", out).tobytes()
-
-    def learn(self, words: list[str]) -> None:
-        """Works out the ids of new words, all at once."""
-        if not words:
-            return
+    def learn(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of new words, all worked out at once."""
         units, ends = cut_all(list(map(marked, words)), self.near)
-        known, kept = self.units.get, self.rare
-        missing = {u for u in units if known(u) is None and u not in kept}
-        if len(kept) + len(missing) > RARE_ENTRIES:
-            kept.clear()
-            missing = {u for u in units if known(u) is None}
-        for u in missing:
-            kept[u] = self.put(u, merged(u, self.pieces))
-        ids = [known(u) or kept[u] for u in units]
-        self.words.update(zip(words, [b"".join(ids[a:b]) for a, b in pairwise([0, *ends])], strict=True))
+        known = self.rare.get
+        held = {u: known(u) for u in set(units)}
+        missing = [u for u, x in held.items() if x is None]
+        if len(self.rare) + len(missing) > RARE_ENTRIES:
+            self.rare = {}
+        fresh = dict(zip(missing, self.merger.ids(missing), strict=True))
+        self.rare.update(fresh)
+        held.update(fresh)
+        ids = list(map(held.__getitem__, units))
+        return dict(zip(words, [b"".join(ids[a:b]) for a, b in pairwise([0, *ends])], strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [words_of(t) for t in texts]
-        seen = set().union(*split)
-        new = seen.difference(self.words)
-        if len(self.words) + len(new) > CACHE_ENTRIES:
-            self.words, new = {}, seen
-        self.learn(sorted(new))
-        get = self.words.__getitem__
+        split, known = [words_of(t) for t in texts], self.words.get
+        held = {w: known(w) for w in set().union(*split)}
+        if new := [w for w, x in held.items() if x is None]:
+            fresh = self.learn(new)
+            held.update(fresh)
+            if len(self.words) + len(fresh) > CACHE_ENTRIES:
+                self.words = dict(self.frequent)
+            self.words.update(fresh)
+        get = held.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
 
 Batches = Iterator[pa.RecordBatch]
 
 
-def encoder(docs: DataFrame, v: Vocabulary, frequent: int) -> Callable[[Batches], Batches]:
-    """Cuts the corpus's frequent units on the lattice; gives the function that encodes batches of ``doc_id, text``."""
+def encoder(docs: DataFrame, v: Vocabulary, frequent: int) -> Callable[[pa.RecordBatch], pa.ListArray]:
+    """Cuts the corpus's frequent words on the lattice; gives the function that encodes the second column of a batch."""
     if v.kind != "bpe":
         raise ValueError("unigram models: use lattice() and fold_viterbi()")
     spark, near = docs.sparkSession, v.side_by_side()
-    top = materialize(unit_counts(docs, near).orderBy(F.desc("n"), "unit").limit(frequent).select("unit"), "units")
+    top = most_frequent(materialize(word_counts(docs), "words"), frequent)
     cut = lattice(top.repartition("unit"), piece_table(spark, v), v.longest).select("unit", fold_merges().alias("mask"))
-    shared = spark.sparkContext.broadcast((near, v.pieces, v.byte, v.unknown, {r.unit: r.mask for r in cut.toLocalIterator()}))
+    known = {bare(r.unit): put(r.unit, bounds(r.mask), v.pieces, v.byte, v.unknown) for r in cut.collect()}  # ``frequent`` rows at most
+    shared = spark.sparkContext.broadcast({"from": (near, v.pieces, v.byte, v.unknown, known)})
 
-    def run(batches: Batches) -> Batches:
-        ids = Ids(*shared.value)
-        for batch in batches:
-            for part in slices(batch, 1, 1 << 20):
-                rows = part.column(1).to_pylist()
-                out = ids.encode(rows)
-                offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in out]))).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(out), np.int32)))
-                yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array([_sha1(t.replace(MARK, " ")) for t in rows], pa.string())], ["doc_id", "ids", "text_sha1"])
+    def run(part: pa.RecordBatch) -> pa.ListArray:
+        held = shared.value
+        if "from" in held:
+            held["ids"] = Ids(*held.pop("from"))
+        out = held["ids"].encode(part.column(1).to_pylist())
+        offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in out]))).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(out), np.int32)))
 
     return run
 
 
 def encode(docs: DataFrame, v: Vocabulary, frequent: int = FREQUENT) -> DataFrame:
-    """``doc_id, ids, text_sha1`` of every row of ``docs`` (``doc_id``, ``text``); the digest is of the text that the ids stand for."""
+    """``doc_id, ids`` of every row of ``docs`` (``doc_id``, ``text``)."""
     docs = texts(docs)
-    return docs.mapInArrow(encoder(docs, v, frequent), "doc_id long, ids array<int>, text_sha1 string")
-
+    ids = encoder(docs, v, frequent)
 
-def _sha1(text: str) -> str:
-    import hashlib
+    def run(batches: Batches) -> Batches:
+        for batch in batches:
+            for part in slices(batch, 1, 1 << 20):
+                yield pa.RecordBatch.from_arrays([part.column(0), ids(part)], ["doc_id", "ids"])
 
-    return hashlib.sha1(text.encode()).hexdigest()
+    return docs.mapInArrow(run, "doc_id long, ids array<int>")
 
 
-def decoder(spark: SparkSession, v: Vocabulary, at: int, digest: bool) -> Callable[[Batches], Batches]:
-    """The function that adds ``decoded`` to batches whose column number ``at`` is ids."""
+def decoder(spark: SparkSession, v: Vocabulary) -> Callable[[pa.ListArray], Iterator[bytes]]:
+    """The function that gives the UTF-8 bytes of each list of ids (null: empty)."""
     table = []
     for piece, kind in v.all:
         table.append(bytes([int(piece[3:5], 16)]) if kind == 6 else b" \xe2\x81\x87 " if kind == 2 else b"" if kind == 3 else piece.replace(MARK, " ").encode())
     shared = spark.sparkContext.broadcast(table)
 
-    def run(batches: Batches) -> Batches:
-        piece = shared.value.__getitem__
-        for batch in batches:
-            column = batch.column(at)
-            offsets, values, null = column.offsets.to_numpy(), column.values, column.is_null().to_pylist()
-            found = []
-            for a, b, no in zip(offsets[:-1], offsets[1:], null, strict=True):
-                raw = b"" if no else b"".join(map(piece, values.slice(a, b - a).to_numpy().tolist()))
-                text = (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
-                found.append(_sha1(text) if digest else text)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], [*batch.schema.names, "decoded"])
+    def run(column: pa.ListArray) -> Iterator[bytes]:
+        lists = column.offsets.to_numpy()
+        spelled = pa.array(shared.value, pa.large_binary()).take(column.values.slice(lists[0], lists[-1] - lists[0]))
+        ends = np.frombuffer(spelled.buffers()[1], np.int64, len(spelled) + 1) if len(spelled) else np.zeros(1, np.int64)
+        raw = spelled.buffers()[2].to_pybytes() if len(spelled) else b""
+        begins, null = ends[lists - lists[0]].tolist(), column.is_null().to_pylist()
+        for (a, b), no in zip(pairwise(begins), null, strict=True):
+            yield b"" if no else raw[a + 1 : b] if raw[a : a + 1] == b" " and a < b else raw[a:b]
 
     return run
 
 
 def decode(rows: DataFrame, v: Vocabulary) -> DataFrame:
     """``rows`` with the column ``decoded``: the text of the column ``ids`` (null: empty)."""
+    text, at = decoder(rows.sparkSession, v), rows.columns.index("ids")
+
+    def run(batches: Batches) -> Batches:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x.decode("utf-8", "replace") for x in text(batch.column(at))], pa.string())], [*batch.schema.names, "decoded"])
+
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(decoder(rows.sparkSession, v, rows.columns.index("ids"), False), f"{fields}, decoded string")
+    return rows.mapInArrow(run, f"{fields}, decoded string")
 
 
 def round_trip(docs: DataFrame, v: Vocabulary, frequent: int = FREQUENT) -> DataFrame:
     """``doc_id, n_pieces, ids, round_trip``: each text's ids, and if they decode to it; both ways in one pass of the same workers."""
     docs = texts(docs)
-    forth, back = encoder(docs, v, frequent), decoder(docs.sparkSession, v, 1, True)
-    rows = docs.mapInArrow(lambda batches: back(forth(batches)), "doc_id long, ids array<int>, text_sha1 string, decoded string")
-    return rows.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", (F.col("decoded") == F.col("text_sha1")).alias("round_trip"))
+    forth, back = encoder(docs, v, frequent), decoder(docs.sparkSession, v)
+
+    def run(batches: Batches) -> Batches:
+        for batch in batches:
+            for part in slices(batch, 1, 1 << 20):
+                ids = forth(part)
+                same = [x == t.replace(MARK, " ").encode() for x, t in zip(back(ids), part.column(1).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(ids.offsets.to_numpy()), pa.int64()), ids, pa.array(same, pa.bool_())], ["doc_id", "n_pieces", "ids", "round_trip"])
+
+    return docs.mapInArrow(run, "doc_id long, n_pieces long, ids array<int>, round_trip boolean")
