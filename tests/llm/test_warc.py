@@ -1,6 +1,8 @@
 import gzip
 import hashlib
 import random
+import re
+import zlib
 
 import pytest
 
@@ -29,6 +31,14 @@ def test_round_trip(spark):
     assert got == sorted(want, key=repr)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).collect()
     assert any(b"WARC-Type: response" in gzip.decompress(bytes(f.content)) for f in files)  # any gzip reader reads them
+    for f in files:  # nothing but members, a record each
+        left = bytes(f.content)
+        while left:
+            member = zlib.decompressobj(31)
+            plain = member.decompress(left)
+            left = member.unused_data
+            head, _, block = plain.partition(b"\r\n\r\n")
+            assert plain.startswith(b"WARC/1.1\r\n") and len(block) == int(re.search(rb"\r\nContent-Length: (\d+)$", head)[1]) + 4
 
 
 def test_reader_takes_any_pieces_and_finds_faults():

@@ -2,14 +2,17 @@
 
 Writing: a page whose payload equals that of a page with a larger id, and is not small,
 becomes a revisit record that names the other; the largest id keeps the response. Winners
-are found by a partially aggregated ``max`` over digests, and joined back by digest (Spark
-splits a hot digest's partition; both sides are plain shuffles). Each task packs its
+are found by a partially aggregated ``max`` over digests, and joined back by digest (both
+sides are plain shuffles; Spark splits a hot digest's partition, and small payloads, which need no partner, are
+dealt out by a hash of their own). Each task packs its
 records into chunks of whole gzip members; a file is some of these chunks. Chunks are
 written through Spark's own text writer, so any file system will do and failed tasks
-leave nothing; it puts one zero byte after each chunk, which is padding between members.
+leave nothing; what it puts after each chunk is a ``warcinfo`` record, so that an archive
+holds nothing but records.
 
 Reading: files are streamed through an incremental zlib decompressor, member by member;
-record headers are parsed, blocks are framed by Content-Length and digests are verified.
+record headers are parsed, blocks are framed by Content-Length and digests are verified. Zero
+bytes between members are skipped. Spark hands a file over as one value: archives of 2 GB or more are refused by it.
 
 Defined results: null html is an empty payload; null url is recorded as ``urn:wayfold:none``;
 repeated rows are records of their own (those with the winning id all stay responses);
@@ -151,14 +154,17 @@ def write(pages: DataFrame, path: str, smallest: int = SMALLEST_SHARED) -> None:
     rows = rows.withColumn("digest", F.when(F.octet_length("payload") >= smallest, F.sha1("payload")))
     twice = rows.where("digest is not null").groupBy("digest").agg(F.max("page_id").alias("winner"), F.count("*").alias("copies")).where("copies > 1").select("digest", "winner")
     revisit = F.col("winner").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("winner"))
-    rows = rows.join(twice, "digest", "left").select("page_id", "url", "payload", F.when(revisit, F.col("winner")).alias("of"))
+    own = F.concat(F.lit("small "), F.xxhash64("page_id", "payload").cast("string"))  # no digest is like this
+    rows = rows.withColumn("digest", F.coalesce("digest", own)).join(twice, "digest", "left").select("page_id", "url", "payload", F.when(revisit, F.col("winner")).alias("of"))
+
+    info = record("warcinfo", [("WARC-Record-ID", "<urn:wayfold:info>"), ("Content-Type", "application/warc-fields")], b"software: wayfold\r\nformat: WARC File Format 1.1\r\n")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if not held:
-                    held = [record("warcinfo", [("WARC-Record-ID", "<urn:wayfold:info>"), ("Content-Type", "application/warc-fields")], b"software: wayfold\r\nformat: WARC File Format 1.1\r\n")]
+                    held = [info]
                 held.append(page_record(*row))
                 size += len(held[-1])
                 if size >= CHUNK_BYTES:
@@ -168,7 +174,7 @@ def write(pages: DataFrame, path: str, smallest: int = SMALLEST_SHARED) -> None:
             yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], ["value"])
 
     chunks = rows.mapInArrow(pack, "value binary").select(F.col("value").cast("string").alias("value"))
-    chunks.write.option("lineSep", "\0").option("maxRecordsPerFile", CHUNKS_PER_FILE).option("compression", "none").text(path)
+    chunks.write.option("encoding", "ISO-8859-1").option("lineSep", info.decode("latin-1")).option("maxRecordsPerFile", CHUNKS_PER_FILE).option("compression", "none").text(path)
 
 
 def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
