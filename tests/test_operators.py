@@ -92,6 +92,32 @@ def test_dedup_places(spark):
     assert kept(rows(*items), "b") == sorted(want)
 
 
+@pytest.mark.parametrize("most", [20_000, 3])
+def test_dedup_places_equals_brute_force(spark, monkeypatch, most):
+    """Names along a parallel, over the date line and at a pole; groups whole and parted."""
+    monkeypatch.setattr(dedup, "GROUP_ROWS", most)
+    rng = random.Random(6)
+    rows = []
+    for name, lon, lat in (("line", None, 47.0), ("date", 180.0, 10.0), ("pole", None, 89.9995), ("far", None, None), ("one", 5.0, 5.0)):
+        for _ in range(1 if name == "one" else 70):
+            x = rng.random() * 0.05 if lon is None else (lon + rng.random() * 0.006 - 0.003 + 180) % 360 - 180
+            x, y = (rng.random() * 360 - 180, lat) if name == "pole" else (x, (lat or 0) + rng.random() * (0.002 if lat else 0.05))
+            rows.append((len(rows), "poi", x, y, [("default", name)], [1] * rng.randrange(3), rng.choice("ab")))
+
+    def near(a, b):
+        la, lb = math.radians(a[3]), math.radians(b[3])
+        h = math.sin((lb - la) / 2) ** 2 + math.cos(la) * math.cos(lb) * math.sin(math.radians(b[2] - a[2]) / 2) ** 2
+        return 2 * 6371000 * math.asin(min(1, math.sqrt(h))) <= 150
+
+    left, want = list(rows), []
+    while left:
+        group = [x for x in left if x is left[0] or x[4] == left[0][4] and near(left[0], x)]
+        want.append(max(group, key=lambda x: (x[6] == "b", len(x[5]), -x[0]))[0])
+        left = [x for x in left if x not in group]
+    df = spark.createDataFrame(rows, f"input_ord long, kind string, lon double, lat double, names {schema.NAMES}, admin_path array<long>, source string")
+    assert sorted(r.input_ord for r in dedup.dedupe_places(df, ["b"]).collect()) == sorted(want)
+
+
 def test_interpolation(spark):
     def run(kind, ends, points):
         ways = spark.createDataFrame([(1, kind, None)], "way_id long, kind string, street string")

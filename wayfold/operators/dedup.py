@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, ids, names
+from ..scratch import materialize
 
 RADIUS_M = 150.0
-#: A grid whose cells are wider than the radius anywhere on Earth but next to the poles.
+#: Degrees of latitude that are more than the radius; nearer to the poles than ``_POLAR`` all longitudes are near each other.
 _LAT_CELL = 0.0015
+_POLAR = 89.9
+GROUP_ROWS = 20_000
 
 
 def _priority(priority: Sequence[str]):
@@ -30,22 +33,71 @@ def union_sources(**sources: DataFrame) -> DataFrame:
     for k, (name, df) in enumerate(sources.items()):
         rows = df.withColumn("source", F.lit(name)).withColumn("input_ord", F.lit(k).cast("long") * (1 << 40) + F.coalesce(F.col("input_ord"), F.lit(0)) if "input_ord" in df.columns else F.lit(k).cast("long") * (1 << 40) + F.monotonically_increasing_id())
         out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
-    return out
+    return materialize(out, "sources")  # a stage that is run again would number rows anew
+
+
+def _runs(rows: DataFrame, keys: list[str], cell: str, name: str) -> DataFrame:
+    """Adds ``name``: the number of the run of neighbouring values of ``cell`` within ``keys``; a gap of two or more parts runs."""
+    order = Window.partitionBy(*keys).orderBy(cell)
+    new = (F.col(cell) - F.lag(cell, 1).over(order) > 1).cast("int")
+    return rows.select(*keys, cell).distinct().withColumn("_new", new).withColumn(name, F.sum(F.coalesce("_new", F.lit(0))).over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
 
 def _near_groups(rows: DataFrame) -> DataFrame:
-    """Adds ``cell``: rows of one (kind, name) that a chain of neighbouring grid rows links, in the order of latitude.
+    """Adds ``lat_run, lon_run``: rows of one (kind, name) that a chain of neighbouring grid rows, then columns, links.
 
-    Places within the radius differ by at most one latitude cell, so a gap of two or more
-    cells parts groups that the greedy pass can never join. It keeps a name that is
-    everywhere from ending in one group.
+    Places within the radius differ by at most one cell either way, so a gap parts groups that the greedy pass can
+    never join. It keeps a name that is everywhere, or all along one parallel, from ending in one group. A column is as wide as the
+    radius at the run's highest latitude; the columns go round the globe, so the last run is the first if it touches it.
+    """
+    key = ["kind", "name_lc"]
+    rows = rows.withColumn("lat_cell", F.floor(F.col("lat") / _LAT_CELL))
+    rows = rows.join(_runs(rows, key, "lat_cell", "lat_run"), [*key, "lat_cell"])
+    key = [*key, "lat_run"]
+    high = rows.groupBy(*key).agg(F.max(F.abs("lat")).alias("high"), F.count("*").alias("size"))
+    width = F.when(F.col("high") < _POLAR, _LAT_CELL / F.cos(F.radians(F.least(F.col("high"), F.lit(_POLAR))))).otherwise(360.0)
+    cells = F.floor(360 / F.col("width")).cast("long")  # columns a little wider than the radius, a whole number of them
+    rows = rows.join(high, key).withColumn("width", width).withColumn("lon_cell", F.least(F.floor((F.col("lon") + 180) / 360 * cells), cells - 1)).withColumn("cells", cells)
+    runs = _runs(rows, key, "lon_cell", "lon_run")
+    ends = rows.groupBy(*key).agg(F.min("lon_cell").alias("first"), F.max("lon_cell").alias("last"), F.max("cells").alias("cells"))
+    last = runs.groupBy(*key).agg(F.max("lon_run").alias("last_run"))
+    runs = runs.join(ends.join(last, key), key).withColumn("lon_run", F.when((F.col("lon_run") == F.col("last_run")) & (F.col("first") + F.col("cells") - F.col("last") <= 1), F.lit(0)).otherwise(F.col("lon_run")))
+    return rows.drop("cells", "width", "high", "size").join(runs.select(*key, "lon_cell", "lon_run"), [*key, "lon_cell"])
+
+
+def greedy(rows: list[tuple], radius_m: float) -> list[int]:
+    """The winners' ``input_ord``; rows in that order: ``input_ord, lon, lat, rank, depth, n_names``.
+
+    Each row left takes all later ones within the radius. Rows are filed in cells as wide as the radius, so each looks
+    at its neighbours alone.
     """
-    lat_cell = F.floor(F.col("lat") / _LAT_CELL)
-    order = Window.partitionBy("kind", "name_lc").orderBy("lat_cell")
-    rows = rows.withColumn("lat_cell", lat_cell)
-    distinct = rows.select("kind", "name_lc", "lat_cell").distinct()
-    part = distinct.withColumn("new", (F.col("lat_cell") - F.lag("lat_cell", 1).over(order) > 1).cast("int")).withColumn("cell", F.sum(F.coalesce("new", F.lit(0))).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.join(part.drop("new"), ["kind", "name_lc", "lat_cell"])
+    if len(rows) == 1:
+        return [rows[0][0]]
+    points = [(math.radians(x), math.radians(y)) for _, x, y, *_ in rows]
+    high = max(abs(r[2]) for r in rows)
+    around = max(1, int(360 / (_LAT_CELL / math.cos(math.radians(high))))) if high < _POLAR else 1
+    cell = lambda r: (math.floor(r[2] / _LAT_CELL), min(around - 1, int((r[1] + 180) / 360 * around)))
+    filed: dict[tuple[int, int], list[int]] = {}
+    for i, r in enumerate(rows):
+        filed.setdefault(cell(r), []).append(i)
+    gone, kept = [False] * len(rows), []
+    for i, r in enumerate(rows):
+        if gone[i]:
+            continue
+        y, x = cell(r)
+        winner, (lon, lat) = i, points[i]
+        near = {(y + dy, (x + dx) % around) for dy in (-1, 0, 1) for dx in (-1, 0, 1)}
+        for j in sorted(j for c in near for j in filed.get(c, ()) if j > i and not gone[j]):
+            h = math.sin((points[j][1] - lat) / 2) ** 2 + math.cos(lat) * math.cos(points[j][1]) * math.sin((points[j][0] - lon) / 2) ** 2
+            if 2 * geo.R_DEDUP_M * math.asin(min(1.0, math.sqrt(h))) <= radius_m:
+                gone[j] = True
+                if (-rows[j][3], *rows[j][4:]) > (-rows[winner][3], *rows[winner][4:]):
+                    winner = j
+        for c in near:  # what is gone is not looked at again
+            if c in filed:
+                filed[c] = [j for j in filed[c] if j > i and not gone[j]]
+        kept.append(rows[winner][0])
+    return kept
 
 
 def dedupe_places(places: DataFrame, priority: Sequence[str] = (), radius_m: float = RADIUS_M) -> DataFrame:
@@ -53,33 +105,40 @@ def dedupe_places(places: DataFrame, priority: Sequence[str] = (), radius_m: flo
 
     Of a cluster, the source that comes first in ``priority`` wins, then the longer admin
     path, then more names, then the order of input. ``places`` needs ``kind, names, lon, lat,
-    source, admin_path, input_ord``; the winners' rows come back.
+    source, admin_path, input_ord`` (numbers that a recomputed stage gives again); the winners' rows come back.
+    Rows of a key stream through a task in order, whatever the number of keys; a key with more than ``GROUP_ROWS`` rows is
+    first parted where its places leave gaps, which changes nothing in the result.
     """
+    if radius_m > RADIUS_M:
+        raise ValueError(f"{radius_m} m; the grid is made for {RADIUS_M} at most")
     key = places.select("input_ord", "kind", names.primary_name_lc(F.col("names")).alias("name_lc"), "lon", "lat", _priority(priority).alias("rank"), F.greatest(F.coalesce(F.size("admin_path"), F.lit(0)), F.lit(0)).alias("depth"), F.greatest(F.size("names"), F.lit(0)).alias("n_names"))
-    often = key.groupBy("kind", "name_lc").agg(F.count("*").alias("n"))
-    alone = key.join(often.where("n = 1").select("kind", "name_lc"), ["kind", "name_lc"], "left_semi").select("input_ord")
-    many = _near_groups(key.join(often.where("n > 1").select("kind", "name_lc"), ["kind", "name_lc"], "left_semi"))
-
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values("input_ord").reset_index(drop=True)
-        lon, lat = rows["lon"].map(math.radians).tolist(), rows["lat"].map(math.radians).tolist()
-        better = list(zip(-rows["rank"], rows["depth"], rows["n_names"], strict=True))
-        left, kept = list(range(len(rows))), []
-        while left:
-            seed, rest, winner = left[0], [], left[0]
-            for j in left[1:]:
-                h = math.sin((lat[j] - lat[seed]) / 2) ** 2 + math.cos(lat[seed]) * math.cos(lat[j]) * math.sin((lon[j] - lon[seed]) / 2) ** 2
-                if 2 * geo.R_DEDUP_M * math.asin(min(1.0, math.sqrt(h))) <= radius_m:
-                    if better[j] > better[winner]:
-                        winner = j
-                else:
-                    rest.append(j)
-            kept.append(winner)
-            left = rest
-        return rows.loc[kept, ["input_ord"]]
-
-    won = many.groupBy("kind", "name_lc", "cell").applyInPandas(greedy, "input_ord long").unionByName(alone)
-    return places.join(won, "input_ord", "left_semi")
+    group = ["kind", "name_lc", "lat_run", "lon_run"]
+    whole = {"lat_run": F.lit(0).cast("long"), "lon_run": F.lit(0).cast("long")}
+    hot = key.groupBy("kind", "name_lc").agg(F.count("*").alias("n")).where(F.col("n") > GROUP_ROWS).select("kind", "name_lc")
+    if hot.isEmpty():
+        rows = key.withColumns(whole)
+    else:
+        hot = materialize(hot, "hot")
+        key = materialize(key, "keys")
+        parted = _near_groups(materialize(key.join(hot, ["kind", "name_lc"], "left_semi"), "hot_rows"))
+        rows = key.join(hot, ["kind", "name_lc"], "left_anti").withColumns(whole).unionByName(parted.drop("lat_cell", "lon_cell"))
+    laid = rows.select(*group, "input_ord", "lon", "lat", "rank", "depth", "n_names").repartition(*group).sortWithinPartitions(*group, "input_ord")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            won: list[int] = []
+            for *of, ord_, lon, lat, rank, depth, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if of != now:
+                    if held:
+                        won += greedy(held, radius_m)
+                    now, held = of, []
+                held.append((ord_, lon, lat, rank, depth, n))
+            yield pa.RecordBatch.from_arrays([pa.array(won, pa.int64())], ["input_ord"])
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(greedy(held, radius_m), pa.int64())], ["input_ord"])
+
+    return places.join(laid.mapInArrow(run, "input_ord long"), "input_ord", "left_semi")
 
 
 def dedupe_admin(features: DataFrame, priority: Sequence[str] = ()) -> DataFrame:
