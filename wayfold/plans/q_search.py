@@ -47,10 +47,10 @@ def k5(spark, d):
     return ix.postings.where("field = 'name'").join(ix.lengths, ["field", "place_id"]).select("term", "place_id", "tf", "len")
 
 
-@query("K5_prefix_postings", "SELECT place_id, lower(substring(name, 1, i::INT)) AS term FROM v_named, range(1, 26) r(i) WHERE i <= length(name) AND kind = 'poi'")
+@query("K5_prefix_postings", "SELECT place_id, lower(substring(name, 1, i::INT)) AS term FROM v_named, range(1, 26) r(i) WHERE i <= length(name)")
 def k5p(spark, d):
     ix = index(spark, d)
-    return ix.postings.where("field = 'name_prefix'").join(ix.store.where("kind = 'poi'"), "place_id").select("place_id", "term")
+    return ix.postings.where("field = 'name_prefix'").select("place_id", "term")
 
 
 FINAL = "SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, place_id) AS rank, place_id, score FROM {0}"

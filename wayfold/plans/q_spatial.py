@@ -24,9 +24,9 @@ def r1(spark, d):
     return spatial.finest_first(spatial.point_in_polygon(view(spark, d, "v_points"), views.admin(spark, d))).select("qid", "place_id", "rank")
 
 
-@query("J7_enrich_places", f"SELECT p.place_id, coalesce((SELECT string_agg(b.place_id::VARCHAR, ',' ORDER BY CASE b.kind WHEN 'country' THEN 0 ELSE 1 END, (b.x1 - b.x0) * (b.y1 - b.y0) DESC, b.place_id) FROM (SELECT *, p.lon AS px, p.lat AS py FROM v_box) b WHERE {INSIDE}), '') AS path FROM v_places p WHERE kind = 'poi'")
+@query("J7_enrich_places", f"SELECT p.place_id, coalesce((SELECT string_agg(b.place_id::VARCHAR, ',' ORDER BY CASE b.kind WHEN 'country' THEN 0 ELSE 1 END, (b.x1 - b.x0) * (b.y1 - b.y0) DESC, b.place_id) FROM (SELECT *, p.lon AS px, p.lat AS py FROM v_box) b WHERE {INSIDE} AND b.place_id <> p.place_id AND b.kind <> p.kind), '') AS path FROM v_places p")
 def j7(spark, d):
-    p = views.places(spark, d).where("kind = 'poi'").withColumn("admin_path", F.array().cast("array<long>"))
+    p = views.places(spark, d).withColumn("admin_path", F.array().cast("array<long>"))
     return spatial.enrich_places(p, views.admin(spark, d)).select("place_id", F.array_join(F.transform("admin_path", lambda x: x.cast("string")), ",").alias("path"))
 
 
@@ -38,9 +38,9 @@ def j8(spark, d):
 KNN = "SELECT * FROM (SELECT q.qid, p.place_id, row_number() OVER (PARTITION BY q.qid ORDER BY (q.lon - p.lon) * (q.lon - p.lon) + (q.lat - p.lat) * (q.lat - p.lat), p.place_id)::INT AS rank FROM v_points q, {0} p) WHERE rank <= {1}"
 
 
-@query("R2_nearest", KNN.format("(SELECT * FROM v_places WHERE kind = 'address')", 5))
+@query("R2_nearest", KNN.format("v_places", 5))
 def r2(spark, d):
-    return spatial.nearest(view(spark, d, "v_points"), view(spark, d, "v_places").where("kind = 'address'"), 5).select("qid", "place_id", "rank")
+    return spatial.nearest(view(spark, d, "v_points"), view(spark, d, "v_places"), 5).select("qid", "place_id", "rank")
 
 
 @query("R3_nearest_filtered", KNN.format("(SELECT * FROM v_places WHERE kind = 'address' AND population % 2 = 0)", 3))
@@ -68,16 +68,16 @@ def r5(spark, d):
     return spatial.reverse_full(view(spark, d, "v_points"), views.admin(spark, d), view(spark, d, "v_places"), schema.reverse_class(F.col("kind")))
 
 
-BLD = "SELECT q.qid, b.id, row_number() OVER (PARTITION BY q.qid ORDER BY (x1 - x0) * (y1 - y0), b.id)::INT AS rank, round(b.height, 2) AS height FROM (SELECT qid, lon AS px, lat AS py FROM v_points) q JOIN v_buildings b ON {0}"
+BLD = "SELECT q.qid, b.id, row_number() OVER (PARTITION BY q.qid ORDER BY (x1 - x0) * (y1 - y0), b.id)::INT AS rank, round(b.height, 2) AS height FROM (SELECT {1} AS qid, lon AS px, lat AS py FROM {2}) q JOIN v_buildings b ON {0}"
 VERTEX = "((px = x0 AND py = y0) OR (px = x1 AND py = y0) OR (px = x0 AND py = y1) OR (shape = 'B' AND px = x1 AND py = y1) OR (shape = 'L' AND ((px = x1 AND py = (y0 + y1) / 2) OR (px = (x0 + x1) / 2 AND py = (y0 + y1) / 2) OR (px = (x0 + x1) / 2 AND py = y1))))"
 
 
-@query("R6_buildings_strict", BLD.format(f"({INSIDE} OR {VERTEX})"))
+@query("R6_buildings_strict", BLD.format(f"({INSIDE} OR {VERTEX})", "qid", "v_points"))
 def r6(spark, d):
     return spatial.buildings_at(view(spark, d, "v_points"), views.buildings(spark, d)).select("qid", "id", "rank", F.round("height", 2).alias("height"))
 
 
-@query("R6_buildings_bbox", BLD.format("px BETWEEN x0 AND x1 AND py BETWEEN y0 AND y1"))
+@query("R6_buildings_bbox", BLD.format("px BETWEEN x0 AND x1 AND py BETWEEN y0 AND y1", "qid", "v_points"))
 def r6b(spark, d):
     return spatial.buildings_at(view(spark, d, "v_points"), views.buildings(spark, d), strict=False).select("qid", "id", "rank", F.round("height", 2).alias("height"))
 
@@ -93,9 +93,9 @@ def r8(spark, d):
     return spatial.point_in_polygon(view(spark, d, "v_points"), views.admin(spark, d)).select("qid", "place_id", F.lit(0.5).alias("confidence"))
 
 
-@query("J9_attach_buildings", f"SELECT qid AS place_id, id AS building_id, printf('%.1f', height + 1e-9) AS building_height FROM ({BLD.format(f'({INSIDE} OR {VERTEX})')}) WHERE rank = 1")
+@query("J9_attach_buildings", f"SELECT qid AS place_id, id AS building_id, printf('%.1f', height + 1e-9) AS building_height FROM ({BLD.format(f'({INSIDE} OR {VERTEX})', 'place_id', 'v_places')}) WHERE rank = 1")
 def j9(spark, d):
-    p = views.places(spark, d).where("kind = 'poi'")
+    p = views.places(spark, d)
     b = views.buildings(spark, d).withColumn("height", F.round("height", 2))
     rows = spatial.attach_buildings(spatial.attach_buildings(p, b), b)
     return rows.select("place_id", schema.tag(F.col("tags"), "building_id").alias("building_id"), schema.tag(F.col("tags"), "building_height").alias("building_height")).where("building_id IS NOT NULL")
