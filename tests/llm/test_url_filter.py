@@ -26,7 +26,7 @@ def test_mined_rules_equal_brute_force(spark):
     bad = ["spam" in u and "win" in u or "r=q" in u and rng.random() < 0.7 for u in urls]
     pages = rows(spark, urls)
     labels = spark.createDataFrame([(i, 1 - int(b), 0) for i, b in enumerate(bad)] + [(None, 0, 0), (7, None, None)], "doc_id long, quality int, toxic int")
-    got = {r.page_id: r.verdict for r in uf.judge(pages, labels, min_count=10, min_support=0.01, min_confidence=0.6).collect()}
+    got = {r.page_id: r.verdict for r in uf.judge(pages, labels, min_count=10, min_confidence=0.6).collect()}
     sets = [set(r.t) for r in pages.select(uf.tokens(pages.url).alias("t")).collect()]
     every = sorted(set().union(*sets))
     rules = []

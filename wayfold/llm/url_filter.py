@@ -53,8 +53,12 @@ def tokens(url: Column) -> Column:
     return F.coalesce(found, F.array().cast("array<string>"))
 
 
-def mine(pages: DataFrame, labels: DataFrame, min_support: float = 0.002, min_count: int = 30, min_confidence: float = 0.6) -> DataFrame | None:
-    """Rules ``anchor, items, confidence, support``; None if there are too few labelled urls to reach the least support."""
+def mine(pages: DataFrame, labels: DataFrame, min_count: int = 30, min_confidence: float = 0.6) -> DataFrame | None:
+    """Rules ``anchor, items, confidence, support``; None if there are too few labelled urls to reach the least support.
+
+    A rule holds on ``min_count`` labelled pages at least, at every size of the table. Rules are a table, joined and never
+    collected or broadcast by hint, so their number may grow with the labels.
+    """
     from pyspark.ml.fpm import FPGrowth
 
     bad = labels.select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad")).where("page_id is not null and bad is not null")
@@ -64,7 +68,7 @@ def mine(pages: DataFrame, labels: DataFrame, min_support: float = 0.002, min_co
     n = known.count()
     if n < min_count:
         return None
-    model = FPGrowth(itemsCol="items", minSupport=max(min_support, min_count / n), minConfidence=min_confidence).fit(known)
+    model = FPGrowth(itemsCol="items", minSupport=min_count / n, minConfidence=min_confidence).fit(known)
     alone = model.freqItemsets.where(F.size("items") == 1).select(F.element_at("items", 1).alias("item"), "freq")
     rules = model.associationRules.where(F.col("consequent") == F.array(F.lit(BAD))).select(F.array_sort("antecedent").alias("items"), "confidence", "support")
     rarest = rules.select("items", F.explode("items").alias("item")).join(alone, "item").groupBy("items").agg(F.min_by("item", F.struct("freq", "item")).alias("anchor"))
