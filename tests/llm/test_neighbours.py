@@ -46,6 +46,31 @@ def test_small_and_odd_rows(spark):
     assert nb.search(table(spark, [(0, [1.0])])).collect() == []
 
 
+def test_parallel_vectors_are_ties(spark):
+    rows = [(50, [1.0, 2.0, 3.0])] + [(103 + i, [float(m), 2.0 * m, 3.0 * m]) for i, m in enumerate(range(21, 0, -1))] + [(7, [1.0, 2.0, 2.9])]
+    assert [v for v, _ in got(nb.search(table(spark, rows)))[50]] == [103, 104, 105, 106, 107]
+
+
+def test_an_id_with_two_vectors_is_asked_by_each(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0])] + [(i, [1.0, 0.01 * i]) for i in range(1, 8)] + [(i, [0.01 * i, 1.0]) for i in range(11, 18)]
+    found = nb.search(table(spark, rows)).collect()
+    assert sorted((r["rank"], r.vec_id) for r in found) == sorted([(n, n) for n in range(1, 6)] + [(n, 10 + n) for n in range(1, 6)])
+
+
+def test_blocks_and_growing_parts_change_nothing_but_the_cost(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(0, 1, (700, 6)).astype(np.float32))]
+    monkeypatch.setattr(nb, "BLOCK", 40)
+    same(got(nb.search(table(spark, rows), every=3, parts=4, recall=1.0)), brute(rows, 3, 5))
+
+
+def test_few_parts_are_visited_where_vectors_have_structure():
+    rng = np.random.default_rng(9)
+    x = nb.units(rng.normal(0, 1, (64, 32))[rng.integers(64, size=6000)] + rng.normal(0, 0.15, (6000, 32)))
+    index = nb.fit(x[:5000], 5, 32)
+    assert index.probes <= 8
+
+
 def test_a_common_vector_costs_its_smallest_ids_only(spark):
     rng = random.Random(1)
     rows = [(i, [1.0, 1.0, 0.5] if i % 3 else [rng.gauss(0, 1) for _ in range(3)]) for i in range(600)]

@@ -8,15 +8,21 @@ probable ones, and what is filed there is ranked by exact cosine in double preci
 
 How many parts a query visits is set on the sample, by the recall wanted.
 
+The number of parts grows with the table, from ``PARTS`` to ``MOST_PARTS``, one for each ``BLOCK`` distinct vectors.
+
 Equal vectors are one class with its smallest ids (as many as can be asked for), found by
 a limited window that Spark cuts before the shuffle, so a vector that a third of all rows
-share costs no more than another. Parts are dealt out in blocks of bounded size, with a
-copy of the part's queries each. A query that finds fewer than ``k`` in its parts is run
+share costs no more than another. Parts are dealt out in blocks of ``BLOCK`` classes, and a part's queries in
+blocks of as many; a task holds one of either, about. A query that finds fewer than ``k`` in its parts is run
 again over all of them, so no query misses neighbours that exist.
 
+What a block may hold of a query's best by unit vectors, all within ``NEAR`` of the last of them, is scored anew on the
+original vectors, with extended precision; scores that agree to 14 places are ties.
+
 Defined results: vectors that are null, zero, or hold null or non-finite components take
-no part, nor do rows without id; vectors of different lengths are never compared; equal
-(id, vector) rows count once; ties go to the smaller id; no candidates: no rows.
+no part, nor do rows without id; vectors of different lengths are never compared (each length has an index of its own); equal
+(id, vector) rows count once; an id with several vectors is a query by each, with ranks of its own, and its rows are no
+candidates of each other; ties go to the smaller id; no candidates: no rows.
 """
 
 from __future__ import annotations
@@ -32,13 +38,16 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 SAMPLE = 6_000
-"""Distinct vectors that the index is fitted on, at most."""
-PARTS = 32
-"""Parts, at most; a power of two."""
+"""Distinct vectors that the index is fitted on, at most; ``SAMPLE_PER_PART`` for each part if that is more."""
+SAMPLE_PER_PART = 64
+PARTS, MOST_PARTS = 32, 256
+"""Parts, at least (if there are vectors for them) and at most; powers of two."""
 GRAPH_K, SLACK = 10, 1.1
 RECALL = 0.96
 """Wanted on the sample; the rest of the index costs some."""
 BLOCK = 4_096
+NEAR = 1e-12
+"""More than the error of a score by unit vectors."""
 HIDDEN, EPOCHS = 128, 30
 
 
@@ -60,8 +69,8 @@ class Index:
 def nearest_in(x: np.ndarray, k: int) -> np.ndarray:
     """Places of the k nearest others of each unit vector, in blocks."""
     out = []
-    for at in range(0, len(x), 1024):
-        sim = x[at : at + 1024] @ x.T
+    for at in range(0, len(x), 512):
+        sim = x[at : at + 512] @ x.T
         sim[np.arange(len(sim)), at + np.arange(len(sim))] = -9
         top = np.argpartition(-sim, k, axis=1)[:, :k]
         out.append(np.take_along_axis(top, np.argsort(-np.take_along_axis(sim, top, 1), axis=1, kind="stable"), 1))
@@ -181,37 +190,48 @@ def routed(rows: DataFrame, index: Index, visits: int, columns: str, names: list
     return rows.select(*names).mapInArrow(run, f"{columns}, parts array<int>")
 
 
+def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosines of one vector with many, on the vectors as they are."""
+    a, b = (v.astype(np.longdouble) / np.abs(v).max(-1, keepdims=True) for v in (a, b))  # scaled, so that squares neither overflow nor vanish
+    return np.clip(((b @ a) / (np.sqrt((a * a).sum()) * np.sqrt((b * b).sum(1)))).astype(np.float64), -1, 1)
+
+
 def ranked(queries: DataFrame, filed: DataFrame, blocks: dict[int, int], k: int) -> DataFrame:
-    """``query_id, vec_id, score`` of the k best of each query and block. queries: ``query_id, raw, parts``; filed: ``raw, ids, part, block``."""
-    per_part = F.create_map(*[F.lit(x) for kv in blocks.items() for x in kv]) if blocks else F.create_map(F.lit(-1), F.lit(1))
-    asked = queries.select("query_id", "raw", F.explode("parts").alias("part")).withColumn("n", F.try_element_at(per_part, F.col("part"))).where("n is not null")
-    asked = asked.select("query_id", "raw", "part", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("block"))
+    """``query_id, own, vec_id, score`` of the k best of each query and block. queries: ``query_id, own, raw, parts``; filed: ``raw, ids, part, block``."""
+    if not blocks:
+        return queries.sparkSession.createDataFrame([], "query_id long, own long, vec_id long, score double")
+    lookup = lambda of: F.try_element_at(F.create_map(*[F.lit(x) for kv in of.items() for x in kv]), F.col("part"))
+    asked = queries.select("query_id", "own", "raw", F.explode("parts").alias("part")).withColumn("n", lookup(blocks)).where("n is not null")
+    heaps = {r.part: -(-r.n // BLOCK) for r in asked.groupBy("part").agg(F.count("*").alias("n")).collect()}  # a row a part
+    if not heaps:
+        return queries.sparkSession.createDataFrame([], "query_id long, own long, vec_id long, score double")
+    asked = asked.withColumn("heap", F.pmod(F.xxhash64("query_id", "own"), lookup(heaps).cast("long")).cast("int"))
+    asked = asked.select("query_id", "own", "raw", "part", "heap", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("block"))
+    filed = filed.withColumn("heaps", lookup(heaps)).where("heaps is not null").select("raw", "ids", "part", "block", F.explode(F.sequence(F.lit(0), F.col("heaps") - 1)).alias("heap"))
 
     def score(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(c):
-            return pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "vec_id": pd.Series([], dtype="int64"), "score": pd.Series([], dtype="float64")})
-        own, all_ = matrix(list(q["raw"])), matrix(list(c["raw"]))
-        ids = list(c["ids"])
-        uq, uc = units(own), units(all_)
-        keep = min(len(all_), k + 3)
-        rows: list[tuple[int, int, float]] = []
-        for at in range(0, len(own), 512):
-            sim = uq[at : at + 512] @ uc.T
-            top = np.argpartition(-sim, keep - 1, axis=1)[:, :keep]
-            for i, places in enumerate(top):
-                a, b = uq[at + i], uc[places]
-                exact = (a * b).sum(1)
-                query = int(q["query_id"].iloc[at + i])
-                rows += [(query, int(v), float(s)) for j, s in zip(places, exact, strict=True) for v in ids[j] if v != query]
-        out = pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]).sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True], kind="stable")
-        return out.groupby("query_id").head(k)
-
-    return asked.groupBy("part", "block").cogroup(filed.groupBy("part", "block")).applyInPandas(score, "query_id long, vec_id long, score double")
+        rows: list[tuple[int, int, int, float]] = []
+        if len(q) and len(c):
+            mine, all_, ids = matrix(list(q["raw"])), matrix(list(c["raw"])), list(c["ids"])
+            names, owns = q["query_id"].tolist(), q["own"].tolist()
+            uq, uc = units(mine), units(all_)
+            keep = min(len(all_), k + 1)  # one may be the query's own
+            for at in range(0, len(mine), 512):
+                sim = uq[at : at + 512] @ uc.T
+                last = np.partition(sim, len(all_) - keep, axis=1)[:, len(all_) - keep]
+                for i, near in enumerate(sim >= last[:, None] - NEAR):
+                    places = np.flatnonzero(near)
+                    found = [(-round(x, 14), v, x) for j, x in zip(places.tolist(), exact(mine[at + i], all_[places]).tolist(), strict=True) for v in ids[j] if v != names[at + i]]
+                    rows += [(names[at + i], owns[at + i], v, x) for _, v, x in sorted(found)[:k]]
+        return pd.DataFrame({n: pd.Series([r[i] for r in rows], dtype=t) for i, (n, t) in enumerate((("query_id", "int64"), ("own", "int64"), ("vec_id", "int64"), ("score", "float64")))})
+
+    key = ("part", "block", "heap")
+    return asked.groupBy(*key).cogroup(filed.groupBy(*key)).applyInPandas(score, "query_id long, own long, vec_id long, score double")
 
 
 def best(found: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    order = Window.partitionBy("query_id", "own").orderBy(F.desc(F.round("score", 14)), "vec_id", F.desc("score"))
+    return found.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "own", "rank", "vec_id", "score")
 
 
 def search(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE, parts: int = PARTS, recall: float = RECALL) -> DataFrame:
@@ -228,18 +248,22 @@ def _search(rows: DataFrame, every: int, k: int, sample: int, parts: int, recall
     few = Window.partitionBy("raw").orderBy("vec_id")
     classes = rows.withColumn("n", F.row_number().over(few)).where(F.col("n") <= k + 1).groupBy("raw").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))  # k + 1 at most
     classes = materialize(classes, "classes")
-    some = [r.raw for r in classes.select("raw").orderBy(F.xxhash64("raw"), "raw").limit(sample).collect()]
+    wanted = classes.count() // BLOCK
+    while parts < min(wanted, MOST_PARTS):
+        parts *= 2
+    some = [r.raw for r in classes.select("raw").orderBy(F.xxhash64("raw"), "raw").limit(max(sample, SAMPLE_PER_PART * parts if parts > PARTS else 0)).collect()]
     index = fit(units(matrix(some)), k, parts, recall)
     routes = materialize(routed(classes, index, 1, "raw binary, ids array<long>", ["raw", "ids"]), "filed").withColumn("part", F.element_at("parts", 1))
-    blocks = {r.part: -(-r.n // BLOCK) for r in routes.groupBy("part").agg(F.count("*").alias("n")).collect()}
+    blocks = {r.part: -(-r.n // BLOCK) for r in routes.groupBy("part").agg(F.count("*").alias("n")).collect()}  # a row a part
     per_part = F.create_map(*[F.lit(x) for kv in blocks.items() for x in kv])
     filed = routes.withColumn("block", F.pmod(F.xxhash64("raw"), F.try_element_at(per_part, F.col("part")).cast("long")).cast("int")).select("raw", "ids", "part", "block")
-    queries = rows.where(F.col("vec_id") % every == 0).select("raw", F.col("vec_id").alias("query_id"))
-    asked = routed(queries, index, index.probes, "raw binary, query_id long", ["raw", "query_id"])
+    queries = rows.where(F.col("vec_id") % every == 0).select("raw", F.col("vec_id").alias("query_id"), F.xxhash64("raw").alias("own"))
+    form, names = "raw binary, query_id long, own long", ["raw", "query_id", "own"]
+    asked = materialize(routed(queries, index, index.probes, form, names), "asked")
     found = materialize(best(ranked(asked, filed, blocks, k), k), "found")
-    full = found.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k).select("query_id")
-    short = materialize(queries.join(full, "query_id", "left_anti").select("raw", "query_id"), "short")
+    full = found.groupBy("query_id", "own").agg(F.count("*").alias("n")).where(F.col("n") >= k).select("query_id", "own")
+    short = materialize(queries.join(full, ["query_id", "own"], "left_anti").select(*names), "short")
     if not short.isEmpty():
-        again = best(ranked(routed(short, index, index.parts, "raw binary, query_id long", ["raw", "query_id"]), filed, blocks, k), k)
-        found = found.join(short.select("query_id"), "query_id", "left_anti").unionByName(again.select(*found.columns))
+        again = best(ranked(materialize(routed(short, index, index.parts, form, names), "asked"), filed, blocks, k), k)
+        found = found.join(short.select("query_id", "own"), ["query_id", "own"], "left_anti").unionByName(again.select(*found.columns))
     return found.select("query_id", "rank", "vec_id", "score")
