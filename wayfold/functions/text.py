@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,6 +25,11 @@ CJK = "[\\u3040-\\u30FF\\u3400-\\u4DBF\\u4E00-\\u9FFF\\uAC00-\\uD7AF\\uF900-\\uF
 LONGEST_TOKEN, LONGEST_PREFIX, LONGEST_PREFIX_BYTES = 40, 25, 64
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once: what stands inside a lambda is computed for each element."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def tokens(text: Column) -> Column:
     """Lower-cased runs of letters and digits, shorter than 40 bytes."""
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: (t != "") & (F.octet_length(t) < LONGEST_TOKEN))
@@ -34,14 +41,12 @@ def has_cjk(text: Column) -> Column:
 
 def ngrams(text: Column, low: int, high: int) -> Column:
     """All n-grams of a lower-cased text with low to high characters."""
-    t = F.lower(text)
-    return F.flatten(F.transform(F.sequence(F.lit(low), F.lit(high)), lambda n: F.when(F.length(t) >= n, F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i: F.substring(t, i, n))).otherwise(F.array().cast("array<string>"))))
+    return let(F.lower(text), lambda t: F.flatten(F.transform(F.sequence(F.lit(low), F.lit(high)), lambda n: F.when(F.length(t) >= n, F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i: F.substring(t, i, n))).otherwise(F.array().cast("array<string>")))))
 
 
 def prefixes(text: Column) -> Column:
     """Prefixes of the whole lower-cased value with 1 to 25 characters and 64 bytes at most."""
-    t = F.lower(text)
-    return F.when(F.length(t) > 0, F.filter(F.transform(F.sequence(F.lit(1), F.least(F.length(t), F.lit(LONGEST_PREFIX))), lambda n: F.substring(t, F.lit(1), n)), lambda p: F.octet_length(p) <= LONGEST_PREFIX_BYTES)).otherwise(F.array().cast("array<string>"))
+    return let(F.lower(text), lambda t: F.when(F.length(t) > 0, F.filter(F.transform(F.sequence(F.lit(1), F.least(F.length(t), F.lit(LONGEST_PREFIX))), lambda n: F.substring(t, F.lit(1), n)), lambda p: F.octet_length(p) <= LONGEST_PREFIX_BYTES)).otherwise(F.array().cast("array<string>")))
 
 
 def trigram_fold(text: Column) -> Column:
@@ -52,9 +57,8 @@ def trigram_fold(text: Column) -> Column:
 
 def trigrams(text: Column) -> Column:
     """Distinct trigrams of the folded, padded text, in order."""
-    folded = trigram_fold(text)
-    padded = F.concat(F.lit(PAD), folded, F.lit(PAD))
-    return F.when(folded != "", F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.substring(padded, i, F.lit(3))))).otherwise(F.array().cast("array<string>"))
+    padded = F.concat(F.lit(PAD), trigram_fold(text), F.lit(PAD))
+    return let(padded, lambda p: F.when(F.length(p) > 2, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(p) - 2), lambda i: F.substring(p, i, F.lit(3))))).otherwise(F.array().cast("array<string>")))
 
 
 def drop_stop_words(query: Column) -> Column:

@@ -1,6 +1,6 @@
 """Ranked text search over batches of queries.
 
-An index is four tables: postings (field, term, place_id, tf), document lengths, a
+An index is four tables: postings (field, term, place_id, tf, len), made row by row without a shuffle, a
 document store, and corpus statistics. A batch of queries is tokenised, joined to the
 postings by (field, term), summed by BM25, cut to candidates, re-ranked by plain
 arithmetic and cut again. All is joins by key and partially aggregated sums; nothing is
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, names, text, udfs
 from ..schema import normalize_layer, tag
+from ..scratch import materialize
 
 # Fixed values of the ranking.
 K1, B = 1.2, 0.75
@@ -24,6 +25,7 @@ EDIT_WEIGHT, EDIT_REACH, SHORTEST_EDIT = 0.6, 4, 4
 SEMANTIC_THRESHOLD, SEMANTIC_PEAK = 0.35, 1.6
 FOCUS_WEIGHT = 0.5
 OVERFETCH, MOST_CANDIDATES = 5, 200
+COMMON_PART, ROUNDING = 4, 1e-6
 
 OPTIONS = {
     "mode": ("search", "string"),
@@ -47,30 +49,34 @@ OPTIONS = {
 
 @dataclass
 class Index:
-    """postings: field, term, place_id, tf; lengths: field, place_id, len; store: one row a place; terms: field, term, df; fields: field, n, avg_len."""
+    """postings: field, term, place_id, tf, len (of the field at the place); store: one row a place; terms: field, term, df; fields: field, n, avg_len."""
 
     postings: DataFrame
-    lengths: DataFrame
     store: DataFrame
     terms: DataFrame
     fields: DataFrame
 
+    @classmethod
+    def of(cls, postings: DataFrame, store: DataFrame) -> Index:
+        """With document frequency by term; documents and mean length by field, over all documents of the index."""
+        terms = postings.groupBy("field", "term").agg(F.count("*").alias("df"))
+        totals = postings.groupBy("field").agg(F.sum("tf").alias("total"))
+        n = store.agg(F.count("*").alias("n"))
+        fields = totals.crossJoin(F.broadcast(n)).select("field", "n", (F.col("total") / F.col("n")).alias("avg_len"))  # a row a field, and one row
+        return cls(postings, store, terms, fields)
+
     def write(self, path: str) -> None:
-        """One folder a table; postings by field, sorted by term, so that a query's terms prune row groups."""
+        """One folder a table; postings by field, sorted by term, so that a query's terms prune row groups. The statistics are counted on what is written."""
+        spark = self.postings.sparkSession
         self.postings.repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.mode("overwrite").partitionBy("field").parquet(f"{path}/postings")
-        for name in ("lengths", "store", "terms", "fields"):
-            getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
+        self.store.write.mode("overwrite").parquet(f"{path}/store")
+        made = Index.of(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/store"))
+        made.terms.write.mode("overwrite").parquet(f"{path}/terms")
+        made.fields.write.mode("overwrite").parquet(f"{path}/fields")
 
     @classmethod
     def read(cls, spark, path: str) -> Index:
-        return cls(*[spark.read.parquet(f"{path}/{name}") for name in ("postings", "lengths", "store", "terms", "fields")])
-
-
-def statistics(postings: DataFrame, lengths: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Document frequency by term; documents and mean length by field, over all documents of the index."""
-    terms = postings.groupBy("field", "term").agg(F.count("*").alias("df"))
-    fields = lengths.groupBy("field").agg(F.sum("len").alias("total"))
-    return terms, fields
+        return cls(*[spark.read.parquet(f"{path}/{name}") for name in ("postings", "store", "terms", "fields")])
 
 
 def build_index(places: DataFrame, plain: bool = False) -> Index:
@@ -84,29 +90,36 @@ def build_index(places: DataFrame, plain: bool = False) -> Index:
     if "population" not in rows.columns:
         rows = rows.withColumn("population", F.coalesce(tag(F.col("tags"), "population").try_cast("long"), F.lit(0).cast("long")))
     rows = rows.withColumns({"categories": names.categories(F.col("kind"), F.col("tags")), "langs": F.array_sort(F.array_distinct(F.transform("names", lambda n: text.normal_lang(n["lang"]))))})
-    each = rows.select("place_id", F.explode("names").alias("n")).select("place_id", F.col("n.value").alias("value"))
     none = F.array().cast("array<string>")
+    values = F.filter(F.transform("names", lambda n: n["value"]), lambda v: v.isNotNull())
+    every = lambda f: F.flatten(F.transform(values, f))
     fields = {
-        "name": text.tokens(F.col("value")),
-        "name_prefix": text.prefixes(F.col("value")),
-        "name_cjk": F.when(text.has_cjk(F.col("value")), text.ngrams(F.col("value"), 1, 2)).otherwise(none),
-        "name_trigrams": text.trigrams(F.col("value")),
+        "name": every(text.tokens),
+        "name_prefix": every(text.prefixes),
+        "name_cjk": every(lambda v: F.when(text.has_cjk(v), text.ngrams(v, 1, 2)).otherwise(none)),
+        "name_trigrams": every(text.trigrams),
+        "kind": F.filter(F.array("kind"), lambda k: k.isNotNull()),
+        "categories": F.coalesce("categories", none),
     }
     if not plain:
-        fields["name_translit"] = F.coalesce(text.tokens(udfs.ascii_fold(F.col("value"))), none)
-        fields["name_phonetic"] = F.when(text.has_cjk(F.col("value")), none).otherwise(udfs.phonetic_codes(F.col("value")))
-    tokens = each.select("place_id", F.explode(F.create_map(*[x for k, v in fields.items() for x in (F.lit(k), v)])).alias("field", "terms")).select("place_id", "field", F.explode("terms").alias("term"))
-    tokens = tokens.unionByName(rows.select("place_id", F.lit("kind").alias("field"), F.col("kind").alias("term"))).unionByName(rows.select("place_id", F.lit("categories").alias("field"), F.explode("categories").alias("term")))
-    postings = tokens.groupBy("field", "term", "place_id").agg(F.count("*").cast("int").alias("tf"))
+        fields["name_translit"] = F.coalesce(text.tokens(udfs.ascii_fold(F.concat_ws(" ", values))), none)
+        fields["name_phonetic"] = F.coalesce(udfs.phonetic_codes(F.concat_ws(" ", F.filter(values, lambda v: ~text.has_cjk(v)))), none)
+    rows = rows.withColumn("fold", _folded(F.get(values, F.lit(0)), plain))
+    terms = F.explode(F.array(*[F.struct(F.lit(k).alias("field"), (F.array_distinct(v) if k in SETS else v).alias("terms")) for k, v in fields.items()]))
     # Sets by place: a term of one counts once.
-    postings = postings.withColumn("tf", F.when(F.col("field").isin("name_trigrams", "name_phonetic", "kind", "categories"), F.lit(1)).otherwise(F.col("tf")))
-    lengths = postings.groupBy("field", "place_id").agg(F.sum("tf").cast("int").alias("len"))
+    counted = lambda ts: F.transform(F.array_distinct(ts), lambda t: F.struct(t.alias("term"), F.size(F.filter(ts, lambda x: x == t)).alias("tf")))
+    postings = rows.select("place_id", terms.alias("f")).select("place_id", "f.field", F.size("f.terms").alias("len"), F.inline(counted(F.col("f.terms")))).select("field", "term", "place_id", "tf", "len")
     year = lambda key: text.parse_year(tag(F.col("tags"), key))
-    store = rows.select("place_id", F.get("names", F.lit(0))["value"].alias("name"), "kind", "level", "lon", "lat", "admin_path", "population", "langs", "categories", "gid", year("start_date").alias("start_year"), year("end_date").alias("end_year"))
-    terms, totals = statistics(postings, lengths)
-    n = store.agg(F.count("*").alias("n"))
-    stats = totals.crossJoin(F.broadcast(n)).select("field", "n", (F.col("total") / F.col("n")).alias("avg_len"))  # a row a field, and one row
-    return Index(postings, lengths, store, terms, stats)
+    store = rows.select("place_id", F.get("names", F.lit(0))["value"].alias("name"), "fold", "kind", "level", "lon", "lat", "admin_path", "population", "langs", "categories", "gid", year("start_date").alias("start_year"), year("end_date").alias("end_year"))
+    return Index.of(postings, store)
+
+
+SETS = frozenset(("name_trigrams", "name_phonetic", "kind", "categories"))
+
+
+def _folded(name: Column, plain: bool) -> Column:
+    """What exact names and edits are compared by."""
+    return F.lower(F.trim(name)) if plain else udfs.fold_for_compare(name)
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -139,12 +152,36 @@ def query_terms(queries: DataFrame, plain: bool = False) -> DataFrame:
     return out.where("term <> ''").dropDuplicates(["qid", "field", "term"])
 
 
-def matched(terms: DataFrame, index: Index) -> DataFrame:
-    """``qid, place_id, score``: the sum of BM25 over fields and terms."""
+def summed(asked: DataFrame, index: Index) -> DataFrame:
+    """``qid, place_id, score`` of terms with their statistics."""
+    part = idf(F.col("n"), F.col("df")) * tf_part(F.col("tf"), F.col("len"), F.col("avg_len"))
+    return asked.join(index.postings, ["field", "term"]).groupBy("qid", "place_id").agg(F.sum(part).alias("score"))
+
+
+def matched(terms: DataFrame, index: Index, most: DataFrame | None = None) -> DataFrame:
+    """``qid, place_id, score``: the sum of BM25 over fields and terms.
+
+    most: ``qid, most``; only each query's ``most`` best places need come out (others may). Then terms that more than one place in
+    ``COMMON_PART`` has are left for last: if all of a query's common terms together cannot lift a place above the last of its ``most``
+    best by the other terms, they are looked up only for places that are still in reach. The bound is exact.
+    """
     asked = terms.join(index.terms, ["field", "term"]).join(F.broadcast(index.fields), "field")  # a row a field
-    rows = asked.join(index.postings, ["field", "term"]).join(index.lengths, ["field", "place_id"])
+    common = F.col("df") * COMMON_PART > F.col("n")
+    usual = asked.where(common)
+    if most is None or usual.isEmpty():
+        return summed(asked, index)
+    rare = materialize(summed(asked.where(~common), index), "rare")
+    last = rare.join(most, "qid").withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score")))).where(f"r <= {MOST_CANDIDATES} and r <= most")
+    last = last.groupBy("qid").agg(F.count("*").alias("held"), F.first("most").alias("most"), F.min("score").alias("least")).where("held = most").select("qid", "least")
+    caps = usual.groupBy("qid").agg(F.sum(idf(F.col("n"), F.col("df")) * (K1 + 1)).alias("cap")).join(last, "qid", "left")
+    caps = materialize(caps.withColumn("closed", F.coalesce(F.col("least") > F.col("cap") + ROUNDING, F.lit(False))), "caps")
+    rows = rare.join(caps, "qid", "left")
+    lone = rows.where("closed is null").select("qid", "place_id", "score")
+    within = rows.where(F.col("closed") & (F.col("score") + F.col("cap") >= F.col("least") - ROUNDING)).select("qid", "place_id", "score")
     part = idf(F.col("n"), F.col("df")) * tf_part(F.col("tf"), F.col("len"), F.col("avg_len"))
-    return rows.groupBy("qid", "place_id").agg(F.sum(part).alias("score"))
+    more = within.join(usual, "qid").join(index.postings, ["field", "term", "place_id"]).select("qid", "place_id", part.alias("score"))
+    whole = rows.where("not closed").select("qid", "place_id", "score").unionByName(summed(usual.join(caps.where("not closed"), "qid", "left_semi"), index))
+    return lone.unionByName(within.unionByName(more).unionByName(whole).groupBy("qid", "place_id").agg(F.sum("score").alias("score")))
 
 
 def fuzzy_matched(queries: DataFrame, index: Index) -> DataFrame:
@@ -163,6 +200,7 @@ def fuzzy_matched(queries: DataFrame, index: Index) -> DataFrame:
     asked = loose.select("qid", "token", "word", "edits", F.explode(variants(F.col("word"), 2)).alias("key"))
     filed = lexicon.select("term", F.explode(variants(F.col("term"), 2)).alias("key"))
     near = asked.join(filed, "key").select("qid", "token", "word", "edits", "term").distinct().where(F.abs(F.length("word") - F.length("term")) <= F.col("edits"))
+    near = near.where(F.levenshtein("word", "term") <= 2 * F.col("edits"))  # a swap is two edits here
     found = near.where(udfs.osa_distance(F.col("word"), F.col("term")) <= F.col("edits")).select("qid", "token", "term").unionByName(exact)
     hits = found.join(index.postings.where("field = 'name'"), "term").select("qid", "token", "place_id").distinct()
     need = words.groupBy("qid").agg(F.countDistinct("token").alias("need"))
@@ -224,7 +262,10 @@ def candidates(queries: DataFrame, index: Index, plain: bool = False, given: fro
 
     given: the options that the batch has; clauses of the others are left out of the plan.
     """
-    hits = matched(query_terms(queries, plain), index)
+    most = F.least(F.greatest(F.col("lim") * OVERFETCH, F.col("lim")), F.lit(MOST_CANDIDATES))
+    free = given.isdisjoint(("fuzzy", "phonetic", "layers", "categories", "valid_at"))  # what is best by words alone is best
+    hits = matched(query_terms(queries, plain), index, queries.select("qid", most.alias("most")) if free else None)
+    best = Window.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), "place_id")
     if not plain and "fuzzy" in given:
         fuzzy = fuzzy_matched(queries, index)
         guarded = queries.where("length(trim(q)) >= 4").select("qid")
@@ -237,10 +278,11 @@ def candidates(queries: DataFrame, index: Index, plain: bool = False, given: fro
         hits = filtered(hits, queries, index, "layers", "kind", LAYER)
     if "categories" in given:
         hits = filtered(hits, queries, index, "categories", "categories", CATEGORY)
-    rows = hits.join(queries.drop("layers", "categories"), "qid").join(index.store, "place_id")
-    valid = F.col("valid_at").isNull() | (F.coalesce(F.col("start_year") <= F.col("valid_at"), F.lit(True)) & F.coalesce(F.col("end_year") >= F.col("valid_at"), F.lit(True)))
-    most = F.least(F.greatest(F.col("lim") * OVERFETCH, F.col("lim")), F.lit(MOST_CANDIDATES))
-    ranked = rows.where(valid).withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), "place_id"))).where(F.col("n") <= MOST_CANDIDATES).where(F.col("n") <= most).drop("n")
+    if "valid_at" in given:
+        valid = F.col("valid_at").isNull() | (F.coalesce(F.col("start_year") <= F.col("valid_at"), F.lit(True)) & F.coalesce(F.col("end_year") >= F.col("valid_at"), F.lit(True)))
+        hits = hits.join(queries.select("qid", "valid_at"), "qid").join(index.store.select("place_id", "start_year", "end_year"), "place_id").where(valid).select("qid", "place_id", "score")
+    hits = hits.withColumn("n", F.row_number().over(best)).where(F.col("n") <= MOST_CANDIDATES)  # before anything is joined
+    ranked = hits.join(queries.drop("layers", "categories"), "qid").where(F.col("n") <= most).drop("n").join(index.store, "place_id")
     box = F.col("min_x").isNull() | F.col("min_y").isNull() | F.col("max_x").isNull() | F.col("max_y").isNull() | (F.col("min_x") > F.col("max_x")) | (F.col("min_y") > F.col("max_y"))
     return ranked.where(box | (F.col("lon").between(F.col("min_x"), F.col("max_x")) & F.col("lat").between(F.col("min_y"), F.col("max_y"))))
 
@@ -271,8 +313,7 @@ def search(queries: DataFrame, index: Index, plain: bool = False) -> DataFrame:
     given = frozenset(OPTIONS) & frozenset(queries.columns)
     queries = with_options(queries).where(F.trim("q") != "")
     rows = candidates(queries, index, plain, given).withColumnRenamed("score", "bm25")
-    fold = (lambda c: F.lower(F.trim(c))) if plain else udfs.fold_for_compare
-    rows = rows.withColumns({"fq": fold(F.col("q")), "fn": fold(F.col("name"))})
+    rows = rows.withColumnRenamed("fold", "fn").join(queries.select("qid", _folded(F.col("q"), plain).alias("fq")), "qid")
     search_mode = F.col("mode") == "search"
     several = F.count("*").over(Window.partitionBy("qid")) > 1
     edits = search_mode & (F.col("fuzzy") > 0) & several & (F.length("fq") >= SHORTEST_EDIT)
@@ -285,7 +326,7 @@ def search(queries: DataFrame, index: Index, plain: bool = False) -> DataFrame:
             "distance_km": geo.haversine(F.col("focus_lon"), F.col("focus_lat"), F.col("lon"), F.col("lat")),
         }
     )
-    if plain:
+    if plain or "semantic" not in given:
         rows = rows.withColumn("semantic_boost", F.lit(1.0))
     else:
         similar = cosine(udfs.embed32(F.col("q")), udfs.embed32(F.col("name")))
