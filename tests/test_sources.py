@@ -23,21 +23,21 @@ def names_of(row):
 
 
 def test_openaddresses(spark, tmp_path):
-    p = write(tmp_path / "oa.csv", "LON,LAT,NUMBER,STREET,UNIT,CITY,DISTRICT,REGION,POSTCODE,ID,HASH\n9.52,47.14,12,Aeulestrasse,4B,Vaduz,,,9490,1,abc\n0,0,1,X,,,,,,,\n9.5,47.1,,Y,,,,,,,\n9.5,47.1,3,,,,,,,,\n")
+    p = write(tmp_path / "oa.csv", "LON,LAT,NUMBER,STREET,UNIT,CITY,DISTRICT,REGION,POSTCODE,ID,HASH\n3.25,51.5,48,Korngasse,2c,Norvale,,,4410,1,abc\n0,0,1,X,,,,,,,\n9.5,47.1,,Y,,,,,,,\n9.5,47.1,3,,,,,,,,\n")
     rows = files.openaddresses(spark, p).collect()
-    assert len(rows) == 1 and names_of(rows[0]) == [("default", "12 Aeulestrasse, 4B")] and rows[0].gid == "oa:address:abc" and rows[0].level == 2
-    assert {t.key: t.value for t in rows[0].tags} == {"addr:housenumber": "12", "addr:street": "Aeulestrasse", "addr:unit": "4B", "addr:city": "Vaduz", "addr:postcode": "9490"}
+    assert len(rows) == 1 and names_of(rows[0]) == [("default", "48 Korngasse, 2c")] and rows[0].gid == "oa:address:abc" and rows[0].level == 2
+    assert {t.key: t.value for t in rows[0].tags} == {"addr:housenumber": "48", "addr:street": "Korngasse", "addr:unit": "2c", "addr:city": "Norvale", "addr:postcode": "4410"}
 
 
 def test_geonames(spark, tmp_path):
-    row = lambda i, n, a, cls, code, pop: "\t".join([str(i), n, a, "", "47.14", "9.52", cls, code, "LI", "", "", "", "", "", str(pop), "", "", "", ""])
-    p = write(tmp_path / "g.txt", "\n".join([row(1, "Vaduz", "Vaduz", "P", "PPLC", 5450), row(2, "Zürich", "Zurich", "P", "PPLA", 0), row(3, "Hill", "Hill", "T", "MT", 0), row(4, "Old", "Old", "P", "PPLH", 0), row(5, "Part", "Part", "P", "PPLX", 1)]))
+    row = lambda i, n, a, cls, code, pop: "\t".join([str(i), n, a, "", "47.14", "9.52", cls, code, "QX", "", "", "", "", "", str(pop), "", "", "", ""])
+    p = write(tmp_path / "g.txt", "\n".join([row(1, "Norvale", "Norvale", "P", "PPLC", 7310), row(2, "Hürlau", "Hurlau", "P", "PPLA", 0), row(3, "Hill", "Hill", "T", "MT", 0), row(4, "Old", "Old", "P", "PPLH", 0), row(5, "Part", "Part", "P", "PPLX", 1)]))
     rows = {r.names[0].value: r for r in files.geonames(spark, p).collect()}
-    assert set(rows) == {"Vaduz", "Zürich", "Part"} and rows["Part"].kind == "neighborhood" and rows["Vaduz"].gid == "geonames:locality:1"
-    assert names_of(rows["Zürich"]) == [("default", "Zürich"), ("ascii", "Zurich")] and {t.key: t.value for t in rows["Vaduz"].tags}["population"] == "5450"
-    q = write(tmp_path / "pc.txt", "LI\t9490\tVaduz\t\t\t\t\t\t\t47.14\t9.52\t4\n\t9491\tRuggell\t\t\t\t\t\t\t47.2\t9.5\t4\nLI\t\tX\t\t\t\t\t\t\t47\t9\t1\nLI\t9\tX\t\t\t\t\t\t\tNaN\t9\t1\n")
+    assert set(rows) == {"Norvale", "Hürlau", "Part"} and rows["Part"].kind == "neighborhood" and rows["Norvale"].gid == "geonames:locality:1"
+    assert names_of(rows["Hürlau"]) == [("default", "Hürlau"), ("ascii", "Hurlau")] and {t.key: t.value for t in rows["Norvale"].tags}["population"] == "7310"
+    q = write(tmp_path / "pc.txt", "QX\t4410\tNorvale\t\t\t\t\t\t\t47.14\t9.52\t4\n\t4411\tOstrin\t\t\t\t\t\t\t47.2\t9.5\t4\nQX\t\tX\t\t\t\t\t\t\t47\t9\t1\nQX\t9\tX\t\t\t\t\t\t\tNaN\t9\t1\n")
     rows = {r.names[0].value: r for r in files.geonames_postcodes(spark, q).collect()}
-    assert set(rows) == {"9490", "9491"} and names_of(rows["9490"])[1] == ("default", "9490 Vaduz") and rows["9490"].gid == "geonames:postalcode:LI-9490" and ":h" in rows["9491"].gid
+    assert set(rows) == {"4410", "4411"} and names_of(rows["4410"])[1] == ("default", "4410 Norvale") and rows["4410"].gid == "geonames:postalcode:QX-4410" and ":h" in rows["4411"].gid
 
 
 def test_generic_csv_and_geojson(spark, tmp_path):
@@ -72,7 +72,7 @@ def test_geoparquet_overture_buildings(spark, tmp_path):
 def test_wof(spark, tmp_path):
     db = sqlite3.connect(tmp_path / "w.db")
     db.executescript("CREATE TABLE spr(id,parent_id,name,placetype,country,latitude,longitude,is_current,is_deprecated,is_ceased); CREATE TABLE names(id,language,name,privateuse); CREATE TABLE geojson(id,body);")
-    db.executemany("INSERT INTO spr VALUES (?,?,?,?,?,?,?,?,?,?)", [(1, -1, "L", "country", "LI", 47.1, 9.5, 1, 0, 0), (2, 1, "R", "region", "LI", 47.1, 9.5, -1, 0, 0), (3, 2, "V", "locality", "LI", 47.1, 9.5, 1, 0, 0), (4, 3, "N", "localadmin", "LI", 47.1, 9.5, 1, 0, 0), (5, 1, "gone", "locality", "LI", 47.1, 9.5, 0, 0, 0), (6, 1, "zero", "locality", "LI", 0, 0, 1, 0, 0), (7, 1, "odd", "venue", "LI", 1, 1, 1, 0, 0)])
+    db.executemany("INSERT INTO spr VALUES (?,?,?,?,?,?,?,?,?,?)", [(1, -1, "L", "country", "QX", 47.1, 9.5, 1, 0, 0), (2, 1, "R", "region", "QX", 47.1, 9.5, -1, 0, 0), (3, 2, "V", "locality", "QX", 47.1, 9.5, 1, 0, 0), (4, 3, "N", "localadmin", "QX", 47.1, 9.5, 1, 0, 0), (5, 1, "gone", "locality", "QX", 47.1, 9.5, 0, 0, 0), (6, 1, "zero", "locality", "QX", 0, 0, 1, 0, 0), (7, 1, "odd", "venue", "QX", 1, 1, 1, 0, 0)])
     db.executemany("INSERT INTO names VALUES (?,?,?,?)", [(3, "deu", "Fau", "preferred"), (3, "fra", "x", "variant")])
     db.commit()
     spr, names, _ = binary.read_wof(spark, str(tmp_path / "w.db"))
@@ -131,7 +131,7 @@ def _zz(v):
 
 
 def pbf():
-    strings = _msg(*[(1, s.encode()) for s in ("", "place", "city", "name", "Vaduz", "highway", "primary", "outer")])
+    strings = _msg(*[(1, s.encode()) for s in ("", "place", "city", "name", "Norvale", "highway", "primary", "outer")])
     dense = _msg((1, _zz(1) + _zz(1) + _zz(1)), (8, _zz(471000000) + _zz(1000) + _zz(-1000)), (9, _zz(95000000) + _zz(0) + _zz(2000)), (10, b"\x01\x02\x03\x04\x00" + b"\x00\x00"))
     way = _msg((1, 10), (2, b"\x05\x03"), (3, b"\x06\x04"), (8, _zz(1) + _zz(1) + _zz(5)))
     rel = _msg((1, 20), (8, b"\x07"), (9, _zz(10)), (10, b"\x01"))

@@ -43,20 +43,20 @@ def set_gid(tags: Column, value: Column) -> Column:
 
 # The category taxonomy, by tag key: the group, and the values that are of it.
 AMENITY = {
-    "health": "hospital clinic doctors pharmacy dentist veterinary",
-    "food": "restaurant cafe bar pub fast_food food_court ice_cream biergarten",
-    "education": "school university college kindergarten library",
-    "government": "police fire_station post_office townhall courthouse embassy prison social_facility",
-    "finance": "bank atm bureau_de_change",
-    "entertainment": "cinema theatre arts_centre nightclub casino",
-    "religion": "place_of_worship",
-    "transport": "parking fuel charging_station bus_station ferry_terminal taxi",
+    "health": ["hospital", "clinic", "doctors", "pharmacy", "dentist", "veterinary"],
+    "food": ["restaurant", "cafe", "bar", "pub", "fast_food", "food_court", "ice_cream", "biergarten"],
+    "education": ["school", "university", "college", "kindergarten", "library"],
+    "government": ["police", "fire_station", "post_office", "townhall", "courthouse", "embassy", "prison", "social_facility"],
+    "finance": ["bank", "atm", "bureau_de_change"],
+    "entertainment": ["cinema", "theatre", "arts_centre", "nightclub", "casino"],
+    "religion": ["place_of_worship"],
+    "transport": ["parking", "fuel", "charging_station", "bus_station", "ferry_terminal", "taxi"],
 }
 TOURISM = {
-    "accommodation": "hotel motel hostel guest_house apartment chalet alpine_hut wilderness_hut camp_site caravan_site",
-    "attraction": "museum gallery attraction viewpoint theme_park zoo aquarium artwork",
+    "accommodation": ["hotel", "motel", "hostel", "guest_house", "apartment", "chalet", "alpine_hut", "wilderness_hut", "camp_site", "caravan_site"],
+    "attraction": ["museum", "gallery", "attraction", "viewpoint", "theme_park", "zoo", "aquarium", "artwork"],
 }
-SHOP_FOOD = "supermarket convenience grocery bakery".split()
+SHOP_FOOD = ["supermarket", "convenience", "grocery", "bakery"]
 KIND_CATEGORY = {"country": "admin", "region": "admin", "county": "admin", "city": "admin", "district": "admin", "neighborhood": "admin", "street": "street", "address": "address", "postcode": "postal"}
 
 
@@ -64,10 +64,10 @@ def categories(kind: Column, tags: Column) -> Column:
     """Distinct category words of a place, in order: of its kind, then of eleven tag keys."""
     none = F.lit(None).cast("string")
 
-    def group(v: Column, table: dict[str, str], other: Column) -> Column:
+    def group(v: Column, table: dict[str, list[str]], other: Column) -> Column:
         out = F.when(v.isNull(), none)
         for name, values in table.items():
-            out = out.when(v.isin(values.split()), F.lit(name))
+            out = out.when(v.isin(values), F.lit(name))
         return out.otherwise(other)
 
     own = None

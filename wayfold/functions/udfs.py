@@ -15,8 +15,10 @@ POLYGON = T.ArrayType(T.ArrayType(T.ArrayType(T.StructType([T.StructField("x", T
 
 # Transliteration of Greek and Cyrillic letters, and of Latin ones that do not decompose.
 LATIN = {"ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "đ": "d", "ð": "d", "þ": "th", "ł": "l", "ħ": "h", "ı": "i", "ŋ": "ng", "ŧ": "t", "ĸ": "k", "ſ": "s"}
-CYRILLIC = dict(zip("абвгдежзийклмнопрстуфхцчшщъыьэюяёєіїґ", "a b v g d e zh z i i k l m n o p r s t u f kh ts ch sh shch _ y _ e iu ia io ie i yi g".replace("_", "").split(" "), strict=True))
-GREEK = dict(zip("αβγδεζηθικλμνξοπρσςτυφχψω", "a b g d e z e th i k l m n x o p r s s t u ph kh ps o".split(), strict=True))
+CYRILLIC_TO = ["a", "b", "v", "g", "d", "e", "zh", "z", "i", "i", "k", "l", "m", "n", "o", "p", "r", "s", "t", "u", "f", "kh", "ts", "ch", "sh", "shch", "", "y", "", "e", "iu", "ia", "io", "ie", "i", "yi", "g"]
+CYRILLIC = dict(zip("абвгдежзийклмнопрстуфхцчшщъыьэюяёєіїґ", CYRILLIC_TO, strict=True))
+GREEK_TO = ["a", "b", "g", "d", "e", "z", "e", "th", "i", "k", "l", "m", "n", "x", "o", "p", "r", "s", "s", "t", "u", "ph", "kh", "ps", "o"]
+GREEK = dict(zip("αβγδεζηθικλμνξοπρσςτυφχψω", GREEK_TO, strict=True))
 TABLE = LATIN | CYRILLIC | GREEK
 
 

@@ -187,13 +187,13 @@ def admin_kind(level):
 
 # Place kinds by class (P31).
 P31_KIND = {
-    "country": "Q6256 Q3624078 Q7275".split(),
-    "region": "Q35657 Q34876 Q34772 Q12046105 Q1907114".split(),
-    "county": "Q484170 Q47168 Q1549591".split(),
-    "city": "Q515 Q486972 Q3957 Q532 Q15284 Q5119 Q1093829 Q22746".split(),
+    "country": ["Q6256", "Q3624078", "Q7275"],
+    "region": ["Q35657", "Q34876", "Q34772", "Q12046105", "Q1907114"],
+    "county": ["Q484170", "Q47168", "Q1549591"],
+    "city": ["Q515", "Q486972", "Q3957", "Q532", "Q15284", "Q5119", "Q1093829", "Q22746"],
     "district": ["Q174841"],
-    "neighborhood": "Q123705 Q12076836".split(),
-    "street": "Q34442 Q83620 Q25934".split(),
+    "neighborhood": ["Q123705", "Q12076836"],
+    "street": ["Q34442", "Q83620", "Q25934"],
     "postcode": ["Q37447"],
 }
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import q_scalar, q_search, q_spatial  # noqa: F401
+from . import q_scalar, q_search, q_sources, q_spatial  # noqa: F401
 from .base import ORACLES, QUERIES
 
 

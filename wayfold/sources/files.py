@@ -31,18 +31,37 @@ def _place(rows: DataFrame, source: str, kind: Column, lon: Column, lat: Column,
     return out.withColumn("level", schema.level_for_kind(F.col("kind")))
 
 
+def _checked(rows: DataFrame, *checks: tuple[str, Column]) -> DataFrame:
+    """Adds ``_skip``: the first check that a row does not pass, or null."""
+    skip = F.coalesce(*[F.when(~F.coalesce(ok, F.lit(False)), name) for name, ok in checks])
+    return rows.withColumn("_skip", skip)
+
+
+def import_counters(spark: SparkSession, source: str, path: str) -> DataFrame:
+    """``counter, n`` of a file: rows seen, emitted, and skipped by the first check they fail. source: ``openaddresses``, ``geonames``, ``geonames_postcodes`` or ``generic_csv``."""
+    rows = {"openaddresses": _openaddresses, "geonames": _geonames, "geonames_postcodes": _postcodes, "generic_csv": _generic}[source](spark, path)
+    counted = rows.select(F.explode(F.array(F.lit("seen"), F.coalesce(F.concat(F.lit("skipped_"), F.col("_skip")), F.lit("emitted")))).alias("counter"))
+    return counted.groupBy("counter").agg(F.count("*").alias("n"))
+
+
 def openaddresses(spark: SparkSession, path: str) -> DataFrame:
     """OpenAddresses CSV: needs coordinates (not 0,0), number and street."""
-    rows = spark.read.csv(path, header=True)
+    rows = _openaddresses(spark, path).where("_skip IS NULL")
     have = {c.upper(): c for c in rows.columns}
     col = lambda c: F.trim(F.coalesce(F.col(f"`{have[c]}`"), F.lit(""))) if c in have else F.lit("")
-    rows = rows.withColumns({"_lon": col("LON").try_cast("double"), "_lat": col("LAT").try_cast("double"), "_n": col("NUMBER"), "_s": col("STREET"), "_u": col("UNIT")})
-    rows = rows.where(geo.valid_coord(F.col("_lon"), F.col("_lat"), drop_zero=True) & (F.col("_n") != "") & (F.col("_s") != ""))
     name = F.concat(F.col("_n"), F.lit(" "), F.col("_s"), F.when(F.col("_u") != "", F.concat(F.lit(", "), F.col("_u"))).otherwise(""))
     tags = _tags([("addr:housenumber", F.col("_n")), ("addr:street", F.col("_s")), ("addr:unit", F.col("_u")), ("addr:city", col("CITY")), ("addr:district", col("DISTRICT")), ("addr:region", col("REGION")), ("addr:postcode", col("POSTCODE"))])
     return _place(rows, "oa", F.lit("address"), F.col("_lon"), F.col("_lat"), _names(("default", name)), tags, ids.synthesize_gid(F.lit("oa"), F.lit("address"), F.coalesce(F.when(col("HASH") != "", col("HASH")), col("ID"))))
 
 
+def _openaddresses(spark: SparkSession, path: str) -> DataFrame:
+    rows = spark.read.csv(path, header=True)
+    have = {c.upper(): c for c in rows.columns}
+    col = lambda c: F.trim(F.coalesce(F.col(f"`{have[c]}`"), F.lit(""))) if c in have else F.lit("")
+    rows = rows.withColumns({"_lon": col("LON").try_cast("double"), "_lat": col("LAT").try_cast("double"), "_n": col("NUMBER"), "_s": col("STREET"), "_u": col("UNIT")})
+    return _checked(rows, ("coordinates", geo.valid_coord(F.col("_lon"), F.col("_lat"), drop_zero=True)), ("number", F.col("_n") != ""), ("street", F.col("_s") != ""))
+
+
 def _tsv(spark: SparkSession, path: str, n: int) -> DataFrame:
     """Tab-separated text without quotes or header; missing columns are null."""
     parts = F.split("value", "\t")
@@ -51,43 +70,62 @@ def _tsv(spark: SparkSession, path: str, n: int) -> DataFrame:
 
 def geonames(spark: SparkSession, path: str) -> DataFrame:
     """Geonames TSV: populated places of known codes."""
-    rows = _tsv(spark, path, 19)
-    kind = F.when(F.col("c7").isin(schema.GEONAMES_CITY), "city").when(F.col("c7") == "PPLX", "neighborhood")
-    rows = rows.withColumns({"_k": kind, "_lon": F.col("c5").try_cast("double"), "_lat": F.col("c4").try_cast("double")}).where((F.col("c6") == "P") & F.col("_k").isNotNull() & (F.trim("c1") != "") & geo.valid_coord(F.col("_lon"), F.col("_lat")))
+    rows = _geonames(spark, path).where("_skip IS NULL")
     names = _names(("default", F.col("c1")), ("ascii", F.when(F.col("c2") != F.col("c1"), F.col("c2"))))
     tags = _tags([("country", F.col("c8")), ("feature_code", F.col("c7")), ("population", F.when(F.col("c14").try_cast("long") > 0, F.col("c14")))])
     return _place(rows, "geonames", F.col("_k"), F.col("_lon"), F.col("_lat"), names, tags, ids.synthesize_gid(F.lit("geonames"), schema.kind_slug(F.col("_k")), F.col("c0")))
 
 
+def _geonames(spark: SparkSession, path: str) -> DataFrame:
+    kind = F.when(F.col("c7").isin(schema.GEONAMES_CITY), "city").when(F.col("c7") == "PPLX", "neighborhood")
+    rows = _tsv(spark, path, 19).withColumns({"_k": kind, "_lon": F.col("c5").try_cast("double"), "_lat": F.col("c4").try_cast("double")})
+    return _checked(rows, ("class", F.col("c6") == "P"), ("code", F.col("_k").isNotNull()), ("name", F.trim("c1") != ""), ("coordinates", geo.valid_coord(F.col("_lon"), F.col("_lat"))))
+
+
 def geonames_postcodes(spark: SparkSession, path: str) -> DataFrame:
     """Geonames postcode TSV: the code, and the code with its place, as names."""
-    rows = _tsv(spark, path, 12).withColumns({"_lon": F.col("c10").try_cast("double"), "_lat": F.col("c9").try_cast("double")})
-    rows = rows.where((F.trim("c1") != "") & geo.valid_coord(F.col("_lon"), F.col("_lat")))
+    rows = _postcodes(spark, path).where("_skip IS NULL")
     names = _names(("default", F.col("c1")), ("default", F.when(F.trim("c2") != "", F.concat("c1", F.lit(" "), "c2"))))
     gid = F.when(F.trim("c0") != "", F.concat(F.lit("geonames:postalcode:"), "c0", F.lit("-"), "c1"))
     return _place(rows, "geonames", F.lit("postcode"), F.col("_lon"), F.col("_lat"), names, _tags([("addr:country", F.col("c0")), ("addr:postcode", F.col("c1")), ("addr:city", F.col("c2"))]), gid)
 
 
+def _postcodes(spark: SparkSession, path: str) -> DataFrame:
+    rows = _tsv(spark, path, 12).withColumns({"_lon": F.col("c10").try_cast("double"), "_lat": F.col("c9").try_cast("double")})
+    return _checked(rows, ("code", F.trim("c1") != ""), ("coordinates", geo.valid_coord(F.col("_lon"), F.col("_lat"))))
+
+
 # Header words of generic tables.
 LON, LAT, POPULATION, LANG = ["lon", "longitude", "lng", "x"], ["lat", "latitude", "y"], ["population", "pop"], ["lang", "language"]
 
 
 def generic_csv(spark: SparkSession, path: str) -> DataFrame:
     """CSV with any of the known headers; other columns become tags; without coordinates' headers, no rows."""
+    rows = _generic(spark, path).where("_skip IS NULL")
+    low = {c.strip().lower(): c for c in reversed(rows.columns) if not c.startswith("_")}
+    used = {low[w] for words in (LON, LAT, ["name"], ["kind"], POPULATION, LANG) if (w := next((x for x in words if x in low), None))}
+    tags = [(c.strip(), F.col(f"`{c}`")) for c in rows.columns if c not in used and not c.startswith("_")]
+    if pop := next((low[w] for w in POPULATION if w in low), None):
+        tags.append(("population", F.trim(F.col(f"`{pop}`"))))
+    gid = ids.synthesize_gid(F.lit("generic"), schema.kind_slug(F.col("_k")), F.coalesce(F.trim(F.col(f"`{low['id']}`")) if "id" in low else F.lit(None).cast("string"), F.lit("")))
+    return _place(rows, "generic", F.col("_k"), F.col("_x"), F.col("_y"), _names((F.col("_l"), F.col("_n"))), _tags(tags), gid)
+
+
+def _generic(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.csv(path, header=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, mode="PERMISSIVE")
     low = {c.strip().lower(): c for c in reversed(rows.columns)}
-    pick = lambda words: next((low[w] for w in words if w in low), None)
-    lon, lat, name, kind, pop, lang = pick(LON), pick(LAT), pick(["name"]), pick(["kind"]), pick(POPULATION), pick(LANG)
+
+    def col(words: list[str]) -> Column | None:
+        found = next((low[w] for w in words if w in low), None)
+        return None if found is None else F.trim(F.col(f"`{found}`"))
+
+    lon, lat, name, kind, lang = (col(w) for w in (LON, LAT, ["name"], ["kind"], LANG))
     if lon is None or lat is None or name is None:
-        rows = rows.limit(0).withColumns({c: F.lit(None).cast("string") for c, v in (("_lon", lon), ("_lat", lat), ("_name", name)) if v is None})
-        lon, lat, name = lon or "_lon", lat or "_lat", name or "_name"
-    col = lambda c: F.trim(F.col(f"`{c}`")) if c else F.lit(None).cast("string")
-    rows = rows.withColumns({"_x": col(lon).try_cast("double"), "_y": col(lat).try_cast("double"), "_n": col(name), "_k": schema.parse_kind(F.coalesce(col(kind), F.lit("poi"))) if kind else F.lit("poi"), "_l": F.coalesce(F.when(col(lang) != "", col(lang)), F.lit("default"))})
-    rows = rows.where(geo.valid_coord(F.col("_x"), F.col("_y")) & (F.col("_n") != ""))
-    used = {lon, lat, name, kind, lang, pop}
-    tags = [(c.strip(), F.col(f"`{c}`")) for c in rows.columns if c not in used and not c.startswith("_")] + ([("population", col(pop))] if pop else [])
-    gid = ids.synthesize_gid(F.lit("generic"), schema.kind_slug(F.col("_k")), F.coalesce(col(low.get("id")), F.lit("")))
-    return _place(rows, "generic", F.col("_k"), F.col("_x"), F.col("_y"), _names((F.col("_l"), F.col("_n"))), _tags(tags), gid)
+        rows = rows.limit(0)
+    none = F.lit(None).cast("string")
+    lon, lat, name, lang = (none if c is None else c for c in (lon, lat, name, lang))
+    rows = rows.withColumns({"_x": lon.try_cast("double"), "_y": lat.try_cast("double"), "_n": name, "_k": F.lit("poi") if kind is None else schema.parse_kind(F.coalesce(kind, F.lit("poi"))), "_l": F.coalesce(F.when(lang != "", lang), F.lit("default"))})
+    return _checked(rows, ("coordinates", geo.valid_coord(F.col("_x"), F.col("_y"))), ("name", F.col("_n") != ""))
 
 
 def geojson(spark: SparkSession, path: str) -> DataFrame:
