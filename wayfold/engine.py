@@ -32,13 +32,13 @@ class Engine:
 
     def write(self, path: str) -> None:
         """The bundle as Parquet folders below ``path``."""
-        from .sources.files import write_places
+        from .sources.files import write_places, write_tiled
 
         write_places(self.places, f"{path}/places")
         self.admin.write.mode("overwrite").parquet(f"{path}/admin")
         self.index.write(f"{path}/index")
         if self.buildings is not None:
-            self.buildings.write.mode("overwrite").parquet(f"{path}/buildings")
+            write_tiled(self.buildings, f"{path}/buildings", 2)
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, buildings: bool = False) -> Engine:

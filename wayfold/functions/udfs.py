@@ -464,3 +464,15 @@ def simplify(tolerance: float):
         return s.map(rows)
 
     return run
+
+
+@F.pandas_udf(T.BinaryType())
+def pack_vectors(s: pd.Series) -> pd.Series:
+    """Vectors as little-endian 32-bit floats."""
+    return s.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
+
+
+@F.pandas_udf(T.ArrayType(T.FloatType()))
+def unpack_vectors(s: pd.Series) -> pd.Series:
+    """What ``pack_vectors`` packed; null if the length is no multiple of four bytes."""
+    return s.map(lambda v: None if v is None or len(v) % 4 else np.frombuffer(v, "<f4"))

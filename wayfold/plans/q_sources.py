@@ -13,6 +13,7 @@ from ..scratch import scratch_path
 from ..sources import binary, files, output
 from . import views
 from .base import query
+from .q_scalar import TILE, TILE_SQL
 from .views import view
 
 #: A street address for each customer; every tenth has no number, every eleventh no street, every seventh bad coordinates.
@@ -281,3 +282,66 @@ def x0(spark, d):
     index = search.build_index(views.places(spark, d), plain=True)
     blank = view(spark, d, "supplier").select(F.col("s_suppkey").alias("qid"), F.when(F.col("s_suppkey") % 2 == 0, "").otherwise(" \t ").alias("q"))
     return search.search(blank, index, plain=True).agg(F.count("*").alias("n"))
+
+
+@query("K3_point_tiles", f"SELECT place_id, level, {TILE_SQL} AS tile_id FROM v_places")
+def k3(spark, d):
+    path = scratch_path(spark, "points")
+    files.write_tiled(view(spark, d, "v_places"), path)
+    return spark.read.parquet(path).select("place_id", "level", "tile_id")
+
+
+@query("K4_building_tiles", f"SELECT id, {TILE[2]} AS tile_id FROM (SELECT id, (x0 + x1) / 2 AS lon, (y0 + y1) / 2 AS lat FROM v_buildings)")
+def k4(spark, d):
+    path = scratch_path(spark, "buildings")
+    files.write_tiled(views.buildings(spark, d), path, 2)
+    return spark.read.parquet(path).select("id", "tile_id")
+
+
+@query("S18_tile_reader", f"SELECT place_id FROM v_places WHERE level = 2 AND {TILE_SQL} IN (SELECT {TILE_SQL} FROM v_places WHERE kind = 'poi')")
+def s18(spark, d):
+    from ..functions import ids
+
+    path = scratch_path(spark, "points")
+    files.write_tiled(view(spark, d, "v_places"), path)
+    asked = view(spark, d, "v_places").where("kind = 'poi'").select(ids.tile_id(F.col("level"), F.col("lon"), F.col("lat")).alias("tile_id")).distinct()
+    return spark.read.parquet(path).where("level = 2").join(asked, "tile_id", "left_semi").select("place_id")
+
+
+@query("B3_inspect", f"SELECT level, {TILE_SQL} AS tile_id, kind, count(*) AS n, min(place_id) AS min_id, max(place_id) AS max_id FROM v_places GROUP BY 1, 2, 3")
+def b3(spark, d):
+    path = scratch_path(spark, "points")
+    files.write_tiled(view(spark, d, "v_places"), path)
+    return files.inspect(spark.read.parquet(path))
+
+
+@query("N26_packed_vectors", "SELECT vec_id, 256 AS bytes, round(list_sum([x::DOUBLE FOR x IN embedding]), 4) AS total FROM embeddings")
+def n26(spark, d):
+    rows = view(spark, d, "embeddings").select("vec_id", udfs.pack_vectors("embedding").alias("packed"))
+    rows = rows.select("vec_id", F.octet_length("packed").alias("bytes"), udfs.unpack_vectors("packed").alias("v"))
+    return rows.select("vec_id", "bytes", F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double")), 4).alias("total"))
+
+
+@query("F1_layer_words", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'postcode' WHEN 1 THEN 'poi' WHEN 2 THEN 'city' ELSE 'street' END AS layer FROM part")
+def f1(spark, d):
+    k = F.col("p_partkey") % 4
+    word = F.when(k == 0, "ZIP").when(k == 1, "venue").when(k == 2, "locality").otherwise("street")
+    return view(spark, d, "part").select("p_partkey", search.LAYER(word).alias("layer"))
+
+
+@query("W9_ordered_lookup", "SELECT pos, place_id FROM (SELECT min(s_suppkey) AS pos, 1000000000 + s_suppkey % 50 AS place_id FROM supplier GROUP BY s_suppkey % 50) WHERE place_id IN (SELECT place_id FROM v_places)")
+def w9(spark, d):
+    index = search.build_index(views.places(spark, d), plain=True)
+    wanted = view(spark, d, "supplier").select(F.col("s_suppkey").alias("pos"), (F.lit(1000000000) + F.col("s_suppkey") % 50).cast("string").alias("token"))
+    return search.lookup(wanted, index).select("pos", "place_id")
+
+
+GRAMS = "SELECT DISTINCT {0} AS name, unnest(list_distinct([substring(chr(1) || p || chr(1), i::INT, 3) FOR i IN range(1, length(p) + 1)])) AS t FROM (SELECT {0}, lower(trim(regexp_replace({0}, '[^A-Za-z0-9]+', ' ', 'g'))) AS p FROM part)"
+
+
+@query("U3_shared_trigrams", f"SELECT a.name AS a, b.name AS b, count(*) AS shared FROM ({GRAMS.format('p_name')}) a JOIN ({GRAMS.format('p_type')}) b USING (t) GROUP BY 1, 2")
+def u3(spark, d):
+    from ..functions import text
+
+    grams = lambda c: view(spark, d, "part").select(F.col(c).alias("name")).distinct().select("name", F.explode(text.trigrams(F.col("name"))).alias("t"))
+    return grams("p_name").withColumnRenamed("name", "a").join(grams("p_type").withColumnRenamed("name", "b"), "t").groupBy("a", "b").agg(F.count("*").alias("shared"))

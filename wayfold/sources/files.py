@@ -249,6 +249,23 @@ def write_places(places: DataFrame, path: str) -> None:
     rows.repartitionByRange("level", "_m").sortWithinPartitions("level", "_m", "kind").drop("_m").write.mode("overwrite").option("compression", "zstd").partitionBy("level").parquet(path)
 
 
+def write_tiled(rows: DataFrame, path: str, level: int | None = None) -> None:
+    """Points or buildings (``lon, lat``) by tile: at ``level``, or at each row's own. Files are ranges of tiles, sorted, so that a tile is in one or two of them and its row groups are found by their statistics."""
+    rows = rows.withColumn("level", F.lit(level)) if level is not None else rows
+    rows = rows.withColumn("tile_id", ids.tile_id(F.col("level"), F.col("lon"), F.col("lat")))
+    rows.repartitionByRange("level", "tile_id").sortWithinPartitions("level", "tile_id").write.mode("overwrite").option("compression", "zstd").partitionBy("level").parquet(path)
+
+
+def read_tiles(spark: SparkSession, path: str, level: int, tiles: list[int]) -> DataFrame:
+    """The rows of some tiles: the level is a folder, the tiles are pushed down to the scan."""
+    return spark.read.parquet(path).where((F.col("level") == level) & F.col("tile_id").isin(tiles))
+
+
+def inspect(rows: DataFrame) -> DataFrame:
+    """``level, tile_id, kind, n, min_id, max_id`` of tiled rows."""
+    return rows.groupBy("level", "tile_id", "kind").agg(F.count("*").alias("n"), F.min("place_id").alias("min_id"), F.max("place_id").alias("max_id"))
+
+
 def write_ndjson(hits: DataFrame, path: str) -> None:
     hits.write.mode("overwrite").json(path)
 
