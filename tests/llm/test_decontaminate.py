@@ -1,4 +1,5 @@
 import random
+import time
 
 from wayfold.llm import decontaminate as dc
 
@@ -124,3 +125,32 @@ def test_blocks_and_empty(spark, monkeypatch):
     bench = spark.createDataFrame(items, "item_id long, text string")
     assert {(r.doc_id, r.item_id) for r in dc.find(df, bench).collect()} == want
     assert dc.find(df.limit(0), bench).collect() == [] and dc.find(df, bench.limit(0)).collect() == []
+
+
+def test_repetitive_texts_are_quick_and_bounded():
+    began = time.perf_counter()
+    index = dc.Index([(1, dc.normal("a" * 2000)), (2, dc.normal("ab" * 500))])
+    assert [m[:3] for m in index.matches("a" * 20_000 + " end")][0][0] == 1
+    assert dc.Index([(1, dc.normal("a" * 400))]).matches("a" * 8000)
+    assert time.perf_counter() - began < 20
+
+
+def test_blocks_of_diagonals_give_the_same(monkeypatch):
+    rng = random.Random(21)
+    for _ in range(60):
+        unit = "".join(rng.choice("ab ") for _ in range(rng.randrange(1, 30)))
+        item = (unit * 400)[: rng.randrange(20, 260)] + "".join(rng.choice("abc ") for _ in range(rng.randrange(0, 60)))
+        doc = "".join(rng.choice("xyz ") for _ in range(rng.randrange(200))) + (unit * 200)[: rng.randrange(10, 500)] + worn_some(item, rng) + "".join(rng.choice("xyz ab") for _ in range(rng.randrange(200)))
+        index = dc.Index([(5, dc.normal(item)), (6, dc.normal(item[::-1]))])
+        want = index.matches(doc)
+        monkeypatch.setattr(dc, "MOST_HITS", 0)
+        got = index.matches(doc)
+        monkeypatch.undo()
+        assert got == want
+
+
+def worn_some(text, rng):
+    out = list(text)
+    for _ in range(rng.randrange(0, 6)):
+        out[rng.randrange(len(out))] = rng.choice(["", "q", "qq"])
+    return "".join(out)

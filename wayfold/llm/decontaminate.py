@@ -13,7 +13,7 @@ all of a shorter one) with one edit in ``BYTES_PER_EDIT`` bytes at most, or a lo
 within its budget whose edits shift it by half a band at most.
 
 The items go to the workers in blocks of bounded size (one block, usually); each block is
-matched against all documents in a map without any shuffle.
+matched against all documents in a map without any shuffle: the documents are read once for each ``BLOCK_BYTES`` of items.
 
 Defined results: null and empty texts and items match nothing; items of fewer than ``Q``
 normalised bytes match nothing; repeated documents are reported each, repeated items
@@ -41,6 +41,8 @@ STARTS = 1 << 12
 """Places of an item from which alignments are carried on at once."""
 BLOCK_BYTES = 8 << 20
 """Normalised item text in one block, at most (one item at least)."""
+MOST_HITS = 1 << 21
+"""Hits of a text that are held at once; what is more repetitive than that is looked at item by item, in blocks of diagonals, with the same result."""
 TABLE_BITS = 22
 
 _SPACE = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -88,38 +90,89 @@ class Index:
         self.table[(self.key >> np.uint64(64 - TABLE_BITS)).astype(np.int64)] = True
         self.least = np.array([least_hits(min(len(raw), STRETCH)) for _, raw in items], np.int64)
 
-    def hits(self, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(item, place in item, place in text) of every shared q-gram."""
+    def shared(self, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the text's q-grams that an item has, and their numbers."""
         h = grams(raw)
         at = np.flatnonzero(self.table[(h >> np.uint64(64 - TABLE_BITS)).astype(np.int64)])
         if not len(at):
-            return at, at, at
+            return at, at
         k = np.minimum(np.searchsorted(self.key, h[at]), len(self.key) - 1)
         same = self.key[k] == h[at]
-        at, k = at[same], k[same]
+        return at[same], k[same]
+
+    def hits(self, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(item, place in item, place in text) of every shared q-gram."""
+        at, k = self.shared(raw)
+        return self._hits(at, k)
+
+    def _hits(self, at: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         n = self.count[k]
-        post = np.repeat(self.first[k] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+        post = np.repeat(self.first[k] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum()) if len(at) else at
         return self.item[post], self.place[post], np.repeat(at, n)
 
     def matches(self, text: str) -> list[tuple[int, int, int, int]]:
         """(item_id, bytes matched, edits, place in the normalised text) of the items found, each once with its longest stretch."""
         raw = normal(text)
-        item, place, at = self.hits(raw)
-        if not len(item):
+        at, k = self.shared(raw)
+        if not len(at):
             return []
         found: dict[int, tuple[int, int, int]] = {}
+        if self.count[k].sum() <= MOST_HITS:
+            self._banded(*self._hits(at, k), raw, found)
+        else:
+            for i in range(len(self.items)):
+                self._repetitive(i, raw, found)
+        return sorted((self.items[i][0], *x) for i, x in found.items())
+
+    def _banded(self, item: np.ndarray, place: np.ndarray, at: np.ndarray, raw: bytes, found: dict, first: int | None = None, last: int = 0) -> None:
+        """Looks at all bands with enough hits; with ``first``, at those that begin from there up to ``last``."""
         diagonal = at - place + (1 << 40)
         for shift in (0, BAND // 2):
             band = item * (1 << 42) + (diagonal + shift) // BAND
-            kinds, inverse, count = np.unique(band, return_inverse=True, return_counts=True)
+            order = np.argsort(band, kind="stable")
+            kinds, begin, count = np.unique(band[order], return_index=True, return_counts=True)
             for b in np.flatnonzero(count >= self.least[kinds >> 42]):
-                mine = inverse == b
                 i = int(kinds[b] >> 42)
                 low = (int(kinds[b]) & ((1 << 42) - 1)) * BAND - shift - (1 << 40)
+                if first is not None and not first <= low < last:
+                    continue
+                mine = order[begin[b] : begin[b] + count[b]]
                 got = self._verified(i, place[mine], at[mine], low, raw)
                 if got and (i not in found or (-got[0], got[1], got[2]) < (-found[i][0], found[i][1], found[i][2])):
                     found[i] = got
-        return sorted((self.items[i][0], *x) for i, x in found.items())
+
+    def _repetitive(self, i: int, raw: bytes, found: dict) -> None:
+        """One item against a text with very many hits: a block of diagonals at a time, each with the part of the text that it touches."""
+        own = self.items[i][1]
+        if (p := raw.find(own)) >= 0:
+            found[i] = len(own), 0, p
+            return
+        key, place = np.unique(grams(own), return_inverse=True)
+        if not len(key):
+            return
+        h = grams(raw)
+        k = np.minimum(np.searchsorted(key, h), len(key) - 1)
+        at = np.flatnonzero(key[k] == h)
+        k = k[at]
+        filed = np.sort(place * (1 << 40) + np.arange(len(place)))  # by q-gram, then place
+        wide = max(BAND, min(1024, (MOST_HITS // len(own)) // BAND * BAND))
+        begin = -(len(own) // wide + 1) * wide
+        before = None
+        for low in range(begin, len(raw), wide):
+            a, z = max(0, low - BAND), low + wide + BAND + len(own)
+            part = raw[a:z] if low - BAND >= 0 and z <= len(raw) else None
+            if part is not None and part == before:
+                continue  # as the block before, whose places are smaller
+            before = part
+            x, y = np.searchsorted(at, (a, z))
+            t, kt = at[x:y], k[x:y]
+            lo = np.searchsorted(filed, kt * (1 << 40) + np.maximum(0, t - low - wide - BAND + 1))
+            hi = np.maximum(lo, np.searchsorted(filed, kt * (1 << 40) + np.minimum(len(own), t - low + BAND), side="right"))
+            hi[t - low + BAND < 0] = lo[t - low + BAND < 0]
+            n = hi - lo
+            post = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum()) if len(n) else n
+            if len(post):
+                self._banded(np.full(len(post), i), filed[post] & ((1 << 40) - 1), np.repeat(t, n), raw, found, low, low + wide)
 
     def _verified(self, i: int, place: np.ndarray, at: np.ndarray, low: int, raw: bytes) -> tuple[int, int, int] | None:
         """(bytes, edits, place in the text) of the longest stretch within budget near the diagonals from ``low`` on."""
