@@ -4,7 +4,7 @@ A document's set is its distinct 5-word shingles. Two collections of ``TABLES``
 (``HASHES`` minhashes each) are computed; a table's key is a pair of one half key from
 each, so ``2 * TABLES * HASHES`` minhashes serve ``TABLES ** 2`` tables of ``2 * HASHES`` ones:
 about the square root of the work. At a similarity of 0.75, texts share no table with
-probability 1e-4 (0.0001), at 0.8 with 6e-6.
+probability 4e-6, at 0.8 with 1e-7; what is linked through others does not need a table of its own.
 
 1. One pass over the texts: set size, 128-bit digest of the set, half keys. Equal sets
    become one class, with the smallest id, by a pre-aggregated minimum.
@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from .common import materialize, slices, texts
 from .components import components
 
-WORDS, TABLES, HASHES = 5, 18, 3
+WORDS, TABLES, HASHES = 5, 24, 3
 NEED, OF = 75, 100
 SKETCH_BITS = 18
 CACHE_ENTRIES = 300_000
