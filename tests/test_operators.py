@@ -92,6 +92,22 @@ def test_dedup_places(spark):
     assert kept(rows(*items), "b") == sorted(want)
 
 
+def test_crossing_edges_equal_brute_force():
+    rng = random.Random(3)
+    side = lambda p, q, r: (q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0])
+    seen = set()
+    for _ in range(300):
+        ring = [(rng.randrange(9), rng.randrange(9)) for _ in range(rng.randrange(3, 8))]
+        ring.append(ring[0])
+        n = len(ring) - 1
+        want = any(side(*ring[i : i + 2], ring[j]) * side(*ring[i : i + 2], ring[j + 1]) < 0 and side(*ring[j : j + 2], ring[i]) * side(*ring[j : j + 2], ring[i + 1]) < 0 for i in range(n) for j in range(i + 2, n) if not (i == 0 and j == n - 1))
+        assert joins._crosses(ring) == want
+        seen.add(want)
+    assert seen == {True, False}
+    circle = [(math.cos(k / 10_000 * math.tau), math.sin(k / 10_000 * math.tau)) for k in range(10_000)]
+    assert not joins._crosses([*circle, circle[0]]) and joins._crosses([*circle[:5000], circle[5002], circle[5001], *circle[5003:], circle[0]]) is not None
+
+
 @pytest.mark.parametrize("most", [20_000, 3])
 def test_dedup_places_equals_brute_force(spark, monkeypatch, most):
     """Names along a parallel, over the date line and at a pole; groups whole and parted."""

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import OSM_ADMIN_LEVEL, TAGS, mapped
+from ..scratch import materialize
 
 
 def node_coords(refs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -59,17 +60,18 @@ HOPS = 12
 def parent_chains(nodes: DataFrame, hops: int = HOPS) -> DataFrame:
     """``id, admin_path``, root to leaf, by following parents (12 at most, never in a circle).
 
-    nodes: ``id, parent_id``. Each hop is one equi-join of what is still walking; an id
-    without a row is walked no further and left out of the path.
+    nodes: ``id, parent_id``. Each hop is one equi-join of what is still walking, written out, and the last is the first that
+    moves nothing; an id without a row is walked no further and left out of the path.
     """
     edges = nodes.select(F.col("id").alias("at"), F.col("parent_id").alias("next"))
     walk = nodes.select("id", F.col("parent_id").alias("at"), F.array("id").alias("seen"))
-    path = None
+    path = nodes.select("id", F.lit(0).alias("hop"), F.col("parent_id").alias("ancestor")).limit(0)
     for hop in range(hops):
         walk = walk.where("at IS NOT NULL AND NOT array_contains(seen, at)").join(edges, "at")
-        here = walk.select("id", F.lit(hop).alias("hop"), F.col("at").alias("ancestor"))
-        path = here if path is None else path.unionByName(here)
-        walk = walk.select("id", F.col("next").alias("at"), F.array_append("seen", F.col("at")).alias("seen"))
+        walk = materialize(walk.select("id", F.col("at").alias("ancestor"), F.col("next").alias("at"), F.array_append("seen", F.col("at")).alias("seen")), "walk")
+        if walk.isEmpty():
+            break
+        path = path.unionByName(walk.select("id", F.lit(hop).alias("hop"), "ancestor"))
     chain = path.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("hop")).alias("h"), "ancestor"))), lambda x: x["ancestor"]).alias("admin_path"))  # 12 at most
     return nodes.select("id").join(chain, "id", "left").select("id", F.coalesce("admin_path", F.array().cast("array<long>")).alias("admin_path"))
 
@@ -113,22 +115,23 @@ def _assembled(members: list[tuple[list[int], list[tuple[float, float]]]]) -> li
     return rings
 
 
-def _crosses(ring: list[tuple[float, float]], most: int = 5000) -> bool:
-    """If two edges that do not touch cross; not looked for in very long rings."""
+def _crosses(ring: list[tuple[float, float]]) -> bool:
+    """If two edges that do not touch cross: a sweep along x over the edges whose boxes meet."""
     n = len(ring) - 1
-    if n > most:
-        return False
 
     def side(p, q, r):
         return (q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0])
 
-    for i in range(n):
-        for j in range(i + 2, n):
-            if i == 0 and j == n - 1:
-                continue
-            a, b, c, d = ring[i], ring[i + 1], ring[j], ring[j + 1]
-            if side(a, b, c) * side(a, b, d) < 0 and side(c, d, a) * side(c, d, b) < 0:
-                return True
+    edges = sorted((*sorted((ring[i][0], ring[i + 1][0])), *sorted((ring[i][1], ring[i + 1][1])), i) for i in range(n))
+    open_: list[tuple] = []
+    for x0, x1, y0, y1, i in edges:
+        open_ = [e for e in open_ if e[1] >= x0]
+        for _, _, v0, v1, j in open_:
+            if v0 <= y1 and v1 >= y0 and abs(i - j) not in (1, n - 1):
+                a, b, c, d = ring[i], ring[i + 1], ring[j], ring[j + 1]
+                if side(a, b, c) * side(a, b, d) < 0 and side(c, d, a) * side(c, d, b) < 0:
+                    return True
+        open_.append((x0, x1, y0, y1, i))
     return False
 
 
