@@ -110,6 +110,37 @@ def test_replication(spark, tmp_path):
     assert rep.status(9, 7)["lag"] == 2
 
 
+def test_replication_stops_at_a_gap(spark, tmp_path):
+    assert rep.gap([7, 8, 9], 6) is None and rep.gap([9, 7], 6) == 8 and rep.gap([8], 6) == 7 and rep.gap([5, 7], 6) is None and rep.gap([4, 6], None) == 5 and rep.gap([], 3) is None
+    land = tmp_path / "land"
+    land.mkdir()
+    out, ck = str(tmp_path / "out"), str(tmp_path / "ck")
+    one = lambda n: (land / f"{n:09}.osc").write_text(f'<osmChange><create><node id="{n}" version="1" lat="1" lon="2"/></create></osmChange>')
+    one(1)
+    rep.replicate(spark, str(land), out, ck)
+    one(3)
+    with pytest.raises(Exception, match="change file 2 is missing"):
+        rep.replicate(spark, str(land), out, ck)
+    assert [r.id for r in rep.current(spark, out).collect()] == [1]
+    assert [(r.action, r.n) for r in rep.replicate(spark, str(land), out, ck, dry_run=True).collect()] == [("create", 1)]
+    one(2)
+    rep.replicate(spark, str(land), out, ck)
+    assert sorted(r.id for r in rep.current(spark, out).collect()) == [1, 2, 3] and rep.replicate(spark, str(land), out, ck, dry_run=True).collect() == []
+
+
+def test_token_buckets(spark, tmp_path):
+    from wayfold.streaming import limits
+
+    assert limits.decide([0, 0, 0, 1, 5], 2.0, None, 1.0, 2.0) == ([True, True, False, True, True], 1.0, 5)
+    (tmp_path / "in").mkdir()
+    rows = [{"key": k, "id": i, "at": f"2024-01-01T00:00:{s:02}Z"} for i, (k, s) in enumerate([("a", 0), ("a", 0), ("a", 0), ("b", 0), ("a", 1), (None, 3)])]
+    (tmp_path / "in" / "a.json").write_text("\n".join(json.dumps(r) for r in rows))
+    requests = spark.readStream.schema("key string, id long, at timestamp").json(str(tmp_path / "in"))
+    query = limits.limited(requests, 1.0, 2.0).writeStream.format("memory").queryName("limited").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert {r.id: r.allowed for r in spark.table("limited").collect()} == {0: True, 1: True, 2: False, 3: True, 4: True, 5: True}
+
+
 def _varint(v):
     out = b""
     while True:
