@@ -65,3 +65,22 @@ def test_each_stage_against_brute_force(spark, tmp_path):
     last = {r.doc_id: r for r in corpus_pipeline.run(spark, d).collect()}
     assert {i: list(r.ids) for i, r in last.items()} == {i: sp.encode(t or "") for i, t in seen[3].items()}
     assert all(r.round_trip and r.n_pieces == len(r.ids) for r in last.values())
+
+
+def test_odd_rows_empty_tables_and_clashing_columns(spark, tmp_path):
+    d = str(tmp_path)
+    more = ", ".join(f"{c} string" for c in ("rep", "half", "score", "item_id", "ids", "component_id", "kept", "unit"))
+    rows = [(1, "plain words stand here"), (1, "plain words stand here"), (2, None), (3, ""), (4, " \n"), (None, "no id"), (5, "plain words stand here")]
+    rows = [(i, t, None, None, None, *"abcdefgh") for i, t in rows]
+    spark.createDataFrame(rows, f"{COLUMNS}, {more}").write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    docs = table(spark, d, "documents")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, d)
+        assert docs.columns == [f.name for f in table(spark, d, "documents").schema]
+    assert sorted(((r.doc_id, r.n_pieces > 0, r.round_trip) for r in corpus_pipeline.run(spark, d).collect()), key=repr) == sorted([(1, True, True), (1, True, True), (2, False, True), (3, False, True), (4, True, True), (None, True, True)], key=repr)
+    none = table(spark, d, "documents").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        none = stage(spark, none, d) if none.columns[1:2] == ["text"] else none
+    assert none.collect() == []
