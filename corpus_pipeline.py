@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept. All
 but the last return the columns of ``documents``; the last one the kept documents' ids.
 Every stage is written as Parquet in the shared folder and read again.
+
+Defined results: null, empty and blank texts are not toxic, near-duplicates of nothing and hold no passage, so they
+stay, with no pieces; a row without id stays, linked with nothing; repeated rows share their fate, and all rows of a kept id stay;
+columns that a stage does not use pass through, whatever their names; without documents there are no
+rows; without labels (or labels of one kind) no document is toxic; without benchmark items none is contaminated.
 """
 
 from __future__ import annotations
