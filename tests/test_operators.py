@@ -1,3 +1,4 @@
+import json
 import math
 import random
 
@@ -193,6 +194,11 @@ def test_engine_end_to_end(spark, tmp_path):
     assert got[1].source == "pip" and got[1].distance_km == pytest.approx(1.1745132269779712) and got[2].source == "nearest"
     assert {(r.qid, r["class"]) for r in e.reverse(at, context="full").collect()} == {(1, "admin"), (1, "street"), (2, "street")}
     assert [(r.qid, r.id) for r in e.buildings_at(at).collect()] == [(1, "b1")]
+    (r,) = e.pelias_search(spark.createDataFrame([(1, "vaduz", 2)], "qid long, q string, fuzzy int")).collect()
+    assert [f["properties"]["name"] for f in json.loads(r.body)["features"]] == ["Vaduz"]
+    (r,) = e.pelias_reverse(at).collect()
+    assert r.qid == 1 and [(f["properties"]["place_id"], f["properties"]["confidence"]) for f in json.loads(r.body)["features"]] == [(LI[0], 0.5)]
+    assert e.reload(str(tmp_path / "b")).places.count() == 3
     assert e.layers().count() == 10 and {r.n for r in e.info().collect()} == {1, 2}
     once = spatial.attach_buildings(e.places, house)
     assert sorted(map(str, once.collect())) == sorted(map(str, spatial.attach_buildings(once, house).collect()))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .operators import dedup, search, spatial
 from .schema import KINDS, reverse_class
+from .sources import output
 
 
 @dataclass
@@ -60,6 +61,24 @@ class Engine:
             return spatial.reverse_full(points, self.admin, self.places, reverse_class(F.col("kind")))
         return spatial.reverse(points, self.admin, self.places, limit, near)
 
+    def reload(self, path: str) -> Engine:
+        """The same engine on the bundle that stands in ``path`` now; queries that run keep the tables they began with."""
+        self.spark.catalog.refreshByPath(path)
+        fresh = Engine.open(self.spark, path, self.buildings is not None)
+        self.places, self.admin, self.index, self.buildings = fresh.places, fresh.admin, fresh.index, fresh.buildings
+        return self
+
+    def pelias_search(self, queries: DataFrame, autocomplete: bool = False) -> DataFrame:
+        """``qid, body``: a GeoJSON collection a query; no fuzziness, the default weight of a focus."""
+        asked = queries.drop("mode", "fuzzy", "focus_weight").withColumn("mode", F.lit("autocomplete" if autocomplete else "search"))
+        return output.feature_collections(search.search(asked, self.index), ["place_id", "gid", "kind", "name"])
+
+    def pelias_reverse(self, points: DataFrame, limit: int = 10) -> DataFrame:
+        """``qid, body``: the polygons that hold each point, finest first, each with a score of 1."""
+        hits = spatial.finest_first(spatial.point_in_polygon(points, self.admin), limit=limit)
+        hits = hits.select("qid", "rank", "place_id", "kind", "name", F.col("centre_lon").alias("lon"), F.col("centre_lat").alias("lat"), F.lit(1.0).alias("score"))
+        return output.feature_collections(hits, ["place_id", "kind", "name"])
+
     def buildings_at(self, points: DataFrame, strict: bool = True, limit: int = 10) -> DataFrame:
         return spatial.buildings_at(points, self.buildings, strict, limit)
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions import geo
+from ..functions.text import confidence
 from ..operators import dedup, joins, spatial
 from . import views
 from .base import query
@@ -90,7 +91,7 @@ def r7(spark, d):
 
 @query("R8_pelias_reverse", f"SELECT qid, place_id, 0.5::DOUBLE AS confidence FROM ({BOX_AT})")
 def r8(spark, d):
-    return spatial.point_in_polygon(view(spark, d, "v_points"), views.admin(spark, d)).select("qid", "place_id", F.lit(0.5).alias("confidence"))
+    return spatial.point_in_polygon(view(spark, d, "v_points"), views.admin(spark, d)).select("qid", "place_id", confidence(F.lit(1.0)).alias("confidence"))
 
 
 @query("J9_attach_buildings", f"SELECT qid AS place_id, id AS building_id, printf('%.1f', height + 1e-9) AS building_height FROM ({BLD.format(f'({INSIDE} OR {VERTEX})', 'place_id', 'v_places')}) WHERE rank = 1")
