@@ -1,5 +1,6 @@
 """What failed on larger tables, on small ones: keys beyond a SQL's bits, plans that replicate what grows."""
 
+from wayfold.operators import spatial
 from wayfold.plans.registry import queries
 
 
@@ -8,3 +9,22 @@ def test_morton_query_interleaves_the_bits_of_its_sql(spark, tmp_path):
     spark.createDataFrame(rows, "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
     code = lambda x, y: sum((x >> i & 1) << 2 * i | (y >> i & 1) << 2 * i + 1 for i in range(20))
     assert sorted((r.p_partkey, r.code) for r in queries()["N3_morton"](spark, str(tmp_path)).collect()) == sorted((x, code(x, y)) for x, y in rows)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_building_tiles_are_not_broadcast(spark, tmp_path):
+    ring = lambda x, y, w: [(x, y), (x + w, y), (x + w, y + w), (x, y + w), (x, y)]
+    # Wide ones lie in many tiles; ids repeat with another box, with the same box and height, and are null.
+    rows = [("a", 0.0, 0.0, 9.0, 1.5), ("a", 2.0, 2.0, 3.0, 2.5), ("b", 1.0, 1.0, 1.0, 3.5), ("b", 1.0, 1.0, 1.0, 3.5), (None, 1.0, 1.0, 2.0, 4.5)]
+    buildings = spark.createDataFrame([(i, x, y, x + w, y + w, h, ring(x, y, w)) for i, x, y, w, h in rows], "id string, min_x double, min_y double, max_x double, max_y double, height double, outer_ring array<struct<x: double, y: double>>")
+    buildings.write.parquet(f"{tmp_path}/buildings")
+    buildings = spark.read.parquet(f"{tmp_path}/buildings")  # a file that Spark takes for small
+    points = spark.createDataFrame([(1, 1.5, 1.5), (2, 2.5, 2.5), (3, 50.0, 1.0)], "qid long, lon double, lat double")
+    for strict in (True, False):
+        found = spatial.buildings_at(points, buildings, strict)
+        assert "BroadcastExchange" not in _plan(found)
+        got = sorted(((r.qid, r["rank"], r.id or "", r.height) for r in found.collect()))
+        assert got == [(1, 1, "b", 3.5), (1, 2, "b", 3.5), (1, 3, "", 4.5), (1, 4, "a", 1.5), (2, 1, "", 4.5), (2, 2, "a", 2.5), (2, 3, "a", 1.5)]

@@ -146,10 +146,13 @@ def reverse_full(queries: DataFrame, admin: DataFrame, places: DataFrame, classe
 
 def buildings_at(points: DataFrame, buildings: DataFrame, strict: bool = True, limit: int | None = None, id_col: str = "qid") -> DataFrame:
     """``<id>, id, rank, area, height``: buildings whose ring (or, unless strict, box) holds the point, smallest box first; a vertex is inside."""
-    level = F.lit(2)
-    tiles = buildings.where("NOT isnan(min_x) AND NOT isnan(max_x)").select("id", "min_x", "min_y", "max_x", "max_y", "height", "outer_ring", F.explode(ids.tiles_of_bbox(level, F.col("min_x"), F.col("min_y"), F.col("max_x"), F.col("max_y"))).alias("tile_id"))
+    level, box = F.lit(2), ["min_x", "min_y", "max_x", "max_y"]
+    whole = buildings.where("NOT isnan(min_x) AND NOT isnan(max_x)").select("id", *box, "height", *["outer_ring"] * strict)
+    # Spark takes the rows before explode for the size of this table and would broadcast it: hence the hints.
+    tiles = whole.select("id", *box).distinct().withColumn("tile_id", F.explode(ids.tiles_of_bbox(level, *[F.col(c) for c in box])))
     asked = points.select(id_col, "lon", "lat", ids.tile_id(level, F.col("lon"), F.col("lat")).alias("tile_id"))
-    hits = asked.join(tiles, "tile_id").where("lon BETWEEN min_x AND max_x AND lat BETWEEN min_y AND max_y")
+    hits = asked.join(tiles.hint("merge"), "tile_id").where("lon BETWEEN min_x AND max_x AND lat BETWEEN min_y AND max_y").drop("tile_id")
+    hits = hits.withColumnRenamed("id", "_id").join(whole.hint("merge"), box).where(F.col("_id").eqNullSafe(F.col("id")))
     if strict:
         hits = hits.where(F.expr(f"exists(outer_ring, v -> v.x = lon AND v.y = lat) OR {geo.in_ring('outer_ring', 'lon', 'lat')}"))
     hits = hits.withColumn("area", (F.col("max_x") - F.col("min_x")) * (F.col("max_y") - F.col("min_y")))
