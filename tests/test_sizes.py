@@ -28,3 +28,14 @@ def test_building_tiles_are_not_broadcast(spark, tmp_path):
         assert "BroadcastExchange" not in _plan(found)
         got = sorted(((r.qid, r["rank"], r.id or "", r.height) for r in found.collect()))
         assert got == [(1, 1, "b", 3.5), (1, 2, "b", 3.5), (1, 3, "", 4.5), (1, 4, "a", 1.5), (2, 1, "", 4.5), (2, 2, "a", 2.5), (2, 3, "a", 1.5)]
+
+
+def test_attaching_buildings_broadcasts_no_tiles(spark, tmp_path):
+    ring = "array(named_struct('x', 0D, 'y', 0D), named_struct('x', 9D, 'y', 0D), named_struct('x', 9D, 'y', 9D), named_struct('x', 0D, 'y', 9D), named_struct('x', 0D, 'y', 0D))"
+    spark.range(1).selectExpr("'b' AS id", "0D AS min_x", "0D AS min_y", "9D AS max_x", "9D AS max_y", "2.25D AS height", f"{ring} AS outer_ring").write.parquet(f"{tmp_path}/buildings")
+    spark.range(2).selectExpr("id AS place_id", "id * 20D + 1 AS lon", "1D AS lat", "array(named_struct('key', 'shop', 'value', 'yes')) AS tags").write.parquet(f"{tmp_path}/places")
+    places, buildings = [spark.read.parquet(f"{tmp_path}/{t}") for t in ("places", "buildings")]
+    once = spatial.attach_buildings(places, buildings)
+    assert "BroadcastExchange" not in _plan(once)
+    tags = {r.place_id: [tuple(t) for t in r.tags] for r in spatial.attach_buildings(once, buildings).collect()}
+    assert tags == {0: [("shop", "yes"), ("building_id", "b"), ("building_height", "2.3")], 1: [("shop", "yes")]}
