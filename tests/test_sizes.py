@@ -1,6 +1,8 @@
 """What failed on larger tables, on small ones: keys beyond a SQL's bits, plans that replicate what grows."""
 
-from wayfold.operators import spatial
+import pytest
+
+from wayfold.operators import search, spatial
 from wayfold.plans.registry import queries
 
 
@@ -39,3 +41,34 @@ def test_attaching_buildings_broadcasts_no_tiles(spark, tmp_path):
     assert "BroadcastExchange" not in _plan(once)
     tags = {r.place_id: [tuple(t) for t in r.tags] for r in spatial.attach_buildings(once, buildings).collect()}
     assert tags == {0: [("shop", "yes"), ("building_id", "b"), ("building_height", "2.3")], 1: [("shop", "yes")]}
+
+
+#: Searches that failed at size with a row for each query and place.
+SEARCHES = ["F2_category_filter"]
+
+
+@pytest.fixture(scope="module")
+def many(spark, tmp_path_factory):
+    """A folder with 120 suppliers, all of them queries, and 400 customers; parts have 6 names."""
+    folder = str(tmp_path_factory.mktemp("many"))
+    spark.range(4).selectExpr("CAST(id AS INT) AS r_regionkey", "concat('REGION', id) AS r_name").write.parquet(f"{folder}/region.parquet")
+    spark.range(5).selectExpr("CAST(id AS INT) AS n_nationkey", "concat('NATION', id) AS n_name", "CAST(id % 4 AS INT) AS n_regionkey").write.parquet(f"{folder}/nation.parquet")
+    spark.range(120).selectExpr("id AS s_suppkey", "concat('Supplier#', lpad(id, 9, '0')) AS s_name", "CAST(id % 5 AS INT) AS s_nationkey", "id * 1.5D AS s_acctbal").write.parquet(f"{folder}/supplier.parquet")
+    spark.range(400).selectExpr("id AS c_custkey", "concat('Customer#', lpad(id, 9, '0')) AS c_name", "CAST(id % 5 AS INT) AS c_nationkey", "id * 1.5D AS c_acctbal").write.parquet(f"{folder}/customer.parquet")
+    spark.range(200).selectExpr("id AS p_partkey", "concat(array('small', 'hot')[id % 2], ' ', array('bolt', 'ring', 'gear')[id % 3]) AS p_name").write.parquet(f"{folder}/part.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("name", SEARCHES)
+def test_no_row_for_each_query_and_place(spark, many, monkeypatch, name):
+    made, summed = [], search.summed
+
+    def counting(asked, index):
+        out = summed(asked, index)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(search, "summed", counting)
+    found = queries()[name](spark, many).groupBy("qid").count().collect()
+    assert made and sum(made) < 120 * 520 / 10
+    assert len(found) == 120
