@@ -44,7 +44,7 @@ def test_attaching_buildings_broadcasts_no_tiles(spark, tmp_path):
 
 
 #: Searches that failed at size with a row for each query and place.
-SEARCHES = "F2_category_filter X3_autocomplete F4_bbox".split()
+SEARCHES = "F2_category_filter X3_autocomplete F4_bbox X14_language_boost".split()
 
 
 @pytest.fixture(scope="module")
