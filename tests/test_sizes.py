@@ -44,7 +44,7 @@ def test_attaching_buildings_broadcasts_no_tiles(spark, tmp_path):
 
 
 #: Searches that failed at size with a row for each query and place.
-SEARCHES = "F2_category_filter X3_autocomplete F4_bbox X14_language_boost X15_semantic_search X16_geo_bias X17_ranked_search X18_explain X19_labels X25_federated X26_pelias X2_search X6_phonetic_search".split()
+SEARCHES = "F2_category_filter X3_autocomplete F4_bbox X14_language_boost X15_semantic_search X16_geo_bias X17_ranked_search X18_explain X19_labels X25_federated X26_pelias X2_search X6_phonetic_search X7_layer_filter".split()
 
 
 @pytest.fixture(scope="module")
