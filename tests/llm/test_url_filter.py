@@ -2,6 +2,7 @@ import itertools
 import random
 
 from wayfold.llm import url_filter as uf
+from wayfold.llm.registry import queries
 
 
 def rows(spark, urls):
@@ -20,6 +21,15 @@ def test_explicit_rules(spark):
     assert got[12] == ("com", "", None, "allow") and got[13][0] == "İ.com"
 
 
+def test_each_rule_has_the_word_of_the_contract(spark, tmp_path):
+    # Its list: block com/en/, allow example.com/en/7, allow net/de/, block example.net/de/8, block org/es/.
+    urls = ["http://a.com/en/", "http://a.example.com/en/7", "http://x.net/de/8", "http://y.example.net/de/8/a", "http://example.net/de/7", "http://z.org/es/"]
+    rows(spark, urls).write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.page_id: (r.rule, r.verdict) for r in queries()["op2_url_filter"](spark, str(tmp_path)).collect()}
+    assert got == dict(enumerate([("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("net/de/", "allow"), ("org/es/", "block")]))
+
+
 def test_mined_rules_equal_brute_force(spark):
     rng = random.Random(5)
     urls = [f"http://{rng.choice(['good', 'spam', 'shop'])}.{rng.choice(['example', 'test'])}.xx/{rng.choice(['a', 'b', 'win'])}?r={rng.choice('pqr')}" for _ in range(300)]

@@ -20,7 +20,7 @@ MAX_RULES = 1_000
 """Explicit rules are an expression; longer lists are refused."""
 BAD = "label=block"
 
-RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("allow", "example.net", "/de/8"), ("block", "org", "/es/")]
+RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 
 
 def host(url: Column) -> Column:
