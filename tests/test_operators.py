@@ -216,3 +216,41 @@ def test_plans_have_no_nested_loops(spark):
 def test_fold_is_idempotent():
     for t in ("Zürich", "Łódź", "Москва", "Straße"):
         assert fold(fold(t)) == fold(t)
+
+
+def test_search_in_a_box_cuts_nothing_before_it(spark):
+    """All places in the box are ranked, by a brute-force BM25, also where scores tie by their rounding and where a name is asked for exactly."""
+    rng = random.Random(3)
+    words, sizes = ["red", "blue", "bolt", "ring"], [0, 5, 6, 7, 10**9, 10**9 + 1, 10**9 + 2]
+    rows = [(i, "place " + " ".join(rng.choices(words, k=rng.choice([1, 1, 2, 3]))), float(rng.randrange(-9, 10)), float(rng.randrange(-9, 10)), rng.choice(sizes)) for i in range(700)]
+    df = spark.createDataFrame([(i, 1, "poi", x, y, [("default", n)], [], [("population", str(p))]) for i, n, x, y, p in rows], PLACE)
+    boxes = [(-1.0, -1.0, 0.0, 1.0), (2.0, -9.0, 9.0, 9.0), (2.0, 2.0, 2.0, 2.0), (3.0, 3.0, -3.0, 4.0), (None, 0.0, 1.0, 1.0)]
+    texts = ["place", "red", "Place blue", "place red bolt", "ring blue"]
+    queries = [(len(boxes) * t + b, q, 3 + b % 2, *box) for t, q in enumerate(texts) for b, box in enumerate(boxes)]
+    names = "qid long, q string, lim int, min_x double, min_y double, max_x double, max_y double"
+    index = search.build_index(df, plain=True)
+    def hits(given):
+        out = {}
+        for r in search.search(given, index, plain=True).orderBy("qid", "rank").collect():
+            out.setdefault(r.qid, []).append((r.place_id, round(r.score, 6)))
+        return out
+
+    got = hits(spark.createDataFrame(queries, names))
+    mean, held = sum(len(n.split()) for _, n, *_ in rows) / len(rows), {w: sum(w in n.split() for _, n, *_ in rows) for w in ["place", *words]}
+    for qid, q, lim, *box in queries:
+        if qid % len(boxes) > 2:
+            continue
+        want = []
+        for i, n, x, y, p in rows:
+            own, asked = n.split(), set(q.lower().split())
+            bm = sum(math.log(1 + (len(rows) - held[w] + 0.5) / (held[w] + 0.5)) * own.count(w) * 2.2 / (own.count(w) + 1.2 * (0.25 + 0.75 * len(own) / mean)) for w in asked if w in own)
+            if bm > 0 and box[0] <= x <= box[2] and box[1] <= y <= box[3]:
+                want.append((bm * (4.0 if q.lower() == n else 1.0) * (1 + 0.1 * math.log10(1 + p) if p else 1.0), i))
+        want = sorted(want, key=lambda s: (-round(s[0], 9), s[1]))[:lim]
+        assert got.get(qid, []) == [(i, round(s, 6)) for s, i in want], (q, box)
+        assert qid % len(boxes) == 2 or len(want) == lim
+    free = [q for q in queries if q[0] % len(boxes) > 2]
+    assert {q[0]: got[q[0]] for q in free} == hits(spark.createDataFrame(free, names).select("qid", "q", "lim"))
+    # Options that tell places of a class apart take all of the box.
+    far = hits(spark.createDataFrame(queries[:3], names).withColumns({"lang": F.lit("xx"), "focus_lon": F.lit(0.0), "focus_lat": F.lit(0.0), "focus_weight": F.lit(0.0)}))
+    assert far == {q[0]: got[q[0]] for q in queries[:3] if q[0] in got}

@@ -98,7 +98,7 @@ def f2(spark, d):
     return rounded(search.search(asked(spark, d, categories=F.array(F.lit(" Address "), F.lit(""))), index(spark, d), plain=True))
 
 
-@query("F4_bbox", f"WITH {INDEX}, {QT}, {BM}, {CUT.format('bm')}, sc AS (SELECT qid, place_id, {BOOST} AS score FROM cut JOIN v_queries USING (qid) JOIN v_named USING (place_id) WHERE lon BETWEEN -90 AND 90 AND lat BETWEEN -45 AND 45) SELECT qid, rank::INT AS rank, place_id, round(score, 6) AS score FROM ({FINAL.format('sc')}) WHERE rank <= 10")
+@query("F4_bbox", f"WITH {INDEX}, {QT}, {BM}, sc AS (SELECT qid, place_id, {BOOST} AS score FROM bm JOIN v_queries USING (qid) JOIN v_named USING (place_id) WHERE lon BETWEEN -90 AND 90 AND lat BETWEEN -45 AND 45) SELECT qid, rank::INT AS rank, place_id, round(score, 6) AS score FROM ({FINAL.format('sc')}) WHERE rank <= 10")
 def f4(spark, d):
     box = {"min_x": F.lit(-90.0), "min_y": F.lit(-45.0), "max_x": F.lit(90.0), "max_y": F.lit(45.0)}
     return rounded(search.search(asked(spark, d, **box), index(spark, d), plain=True))
